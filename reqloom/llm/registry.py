@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from reqloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from reqloom.llm.katz import op10_katz
+from reqloom.llm.packing import op3_packing
 from reqloom.llm.simhash import op1_simhash
+from reqloom.llm.tokens import op8_token_counts
+from reqloom.llm.url_filter import OP6_SQL, op6_url_filter
+from reqloom.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op8_token_counts": op8_token_counts,
+    "op9_warc": op9_warc,
+    "op10_katz": op10_katz,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
+    "op6_url_filter": OP6_SQL,
+    "op9_warc": OP9_SQL,
 }
