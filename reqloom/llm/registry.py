@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from reqloom.llm.decontaminate import OP2_SQL, op2_decontamination
 from reqloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from reqloom.llm.katz import op10_katz
 from reqloom.llm.packing import op3_packing
@@ -12,6 +13,7 @@ from reqloom.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filter": op6_url_filter,
@@ -20,6 +22,7 @@ QUERIES = {
     "op10_katz": op10_katz,
 }
 ORACLE_SQL = {
+    "op2_decontamination": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op6_url_filter": OP6_SQL,
     "op9_warc": OP9_SQL,
