@@ -124,17 +124,13 @@ class Counter:
         for parts in cuts:
             if parts:
                 fresh.update(parts[1:])
-        fresh.difference_update(known)
-        rest = list(fresh)
-        made = dict(zip(rest, count_plain(self.path, [f" {x}" for x in rest]), strict=True))
-        known.update((k, v) for k, v in made.items() if len(k) <= LONGEST)
+        rest = list(fresh.difference(known))
+        known.update(zip(rest, count_plain(self.path, [f" {x}" for x in rest]), strict=True))
         firsts = iter(count_plain(self.path, [parts[0] for parts in cuts if parts]))
-        out = []
-        for text, parts in zip(texts, cuts, strict=True):
-            if parts is None:
-                out.append(self._huge(text))
-            else:
-                out.append(next(firsts) + sum(known[x] if x in known else made[x] for x in parts[1:]))
+        out = [self._huge(x) if parts is None else next(firsts) + sum(map(known.__getitem__, parts[1:])) for x, parts in zip(texts, cuts, strict=True)]
+        for part in rest:
+            if len(part) > LONGEST:
+                del known[part]
         return out
 
     def _huge(self, text: str) -> int:
