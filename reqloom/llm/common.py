@@ -13,8 +13,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +93,16 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slices(batch: pa.RecordBatch, text_at: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts have about ``most_bytes`` together; a longer text has a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(sizes.searchsorted((sizes[at - 1] if at else 0) + most_bytes, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def ascii_lower(column):
     """Lower-case A-Z alone. ``lower`` does that for pure ASCII text; other text is translated."""
     text = F.col(column) if isinstance(column, str) else column

@@ -15,9 +15,12 @@ from __future__ import annotations
 
 import bisect
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqloom.llm.common import delete_path, ship, table, written_at
+from reqloom.llm.common import delete_path, ship, slices, table, written_at
 from reqloom.llm.tokens import vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -33,53 +36,119 @@ CAPACITY = 4096
 END_ID = 1
 #: Documents in a group, which one task packs.
 GROUP = 4096
+#: Underfull sequences that give to others in a round of the local search, and documents of a sequence that are paired.
+DONORS, PAIRED = 12, 32
 #: Words a worker remembers at most, and the longest it remembers.
-REMEMBERED, LONGEST = 400_000, 96
+REMEMBERED, LONGEST = 1_000_000, 64
 
-_open: dict[str, tuple] = {}
+#: Unknown pre-tokens that are encoded in one call.
+JOINED = 256
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _open:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        opened = Tokenizer.from_file(path)
-        opened.no_truncation()
-        opened.no_padding()
-        _open[path] = (opened, {})
-    return _open[path]
-
-
-def encoded(path: str, texts: list[bytes]) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers.
+class Encoder:
+    """Ids of texts by an end-of-word vocabulary, remembering words and their parts.
 
     The vocabulary drops white space and never joins across it, so a text's ids
-    are those of its words (cut at ASCII white space) one after the other.
+    are those of its words (cut at ASCII white space) one after the other; a
+    word's are those of its pre-tokens. Unknown pre-tokens are encoded together,
+    between spaces, and told apart by the tokens that end a word. If these
+    aren't as many as the pre-tokens, the words are encoded one by one.
     """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    words = [x.split() for x in texts]
-    fresh = set()
-    for x in words:
-        fresh.update(x)
-    fresh.difference_update(known)
-    rest = list(fresh)
-    made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True)}
-    known.update((k, v) for k, v in made.items() if len(k) <= LONGEST)
-    for x in words:
-        yield b"".join([known[w] if w in known else made[w] for w in x])
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = tuple(token.content for token in self.tokenizer.get_added_tokens_decoder().values())
+        # fixed values: the vocabulary's own pre-token pattern
+        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.words: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> dict[str, bytes]:
+        made: dict[str, bytes] = {}
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                raw, lo = ids.tobytes(), 0
+                for part, hi in zip(some, stops.tolist(), strict=True):
+                    made[part] = raw[4 * lo : 4 * hi]
+                    lo = hi
+            else:
+                made.update(zip(some, self._one_by_one(some), strict=True))
+        return made
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        single, lone, several, cut, odd = [], [], [], [], []
+        findall, nfc = self.parts.findall, unicodedata.normalize
+        for word in words:
+            text = word.decode()
+            if not text.isascii():
+                text = nfc("NFC", text).lower()
+            if text.isalpha():
+                single.append(word)
+                lone.append(text)
+            elif "<|" in text:
+                odd.append(word)
+            else:
+                several.append(word)
+                cut.append(findall(text.lower()))
+        fresh = set(lone)
+        fresh.update(*cut)
+        known = self.known
+        new = self._learn_parts(list(fresh.difference(known)))
+        known.update(new)
+        made = dict(zip(single, map(known.__getitem__, lone), strict=True))
+        made.update(zip(several, [b"".join([known[x] for x in parts]) for parts in cut], strict=True))
+        made.update(zip(odd, self._one_by_one([w.decode() for w in odd]), strict=True))
+        for part in new:
+            if len(part) > LONGEST:
+                del known[part]
+        return made
+
+    def encoded(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        # the vocabulary is in lower case, so A-Z may be lowered first, but for the special strings
+        words = [x.split() if b"<|" in x else x.lower().split() for x in texts]
+        known = self.words
+        parts = [list(map(known.get, x)) for x in words]
+        fresh: set[bytes] = set()
+        for x, ids in zip(words, parts, strict=True):
+            fresh.update(compress(x, map(not_, ids)))
+        made = self._learn(fresh)
+        known.update((word, ids) for word, ids in made.items() if len(word) <= LONGEST)
+        return [b"".join([own or made[word] for word, own in zip(x, ids, strict=True)]) for x, ids in zip(words, parts, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     end = np.array([end_id], "<u4").tobytes()
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    encoder = _encoders[path]
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        for part in slices(batch, 1):
             texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
             rows: list[tuple] = []
-            for doc, ids in zip(part.column(0).to_pylist(), encoded(path, texts), strict=True):
+            for doc, ids in zip(part.column(0).to_pylist(), encoder.encoded(texts), strict=True):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     cut = ids[4 * start : 4 * (start + capacity)]
@@ -118,39 +187,42 @@ def _gain(target: list[int], donor: list[int], lengths: list[int], room: int, le
     """The change that fills ``target`` most: (tokens it gains, items from the donor, items to the donor).
 
     Moves one item, or exchanges one for one, two for one or one for two. The
-    gain is over ``least`` and at most ``room``.
+    gain is over ``least`` and at most ``room``. Pairs are tried only if single
+    items don't fill the target.
     """
     best: tuple[int, list[int], list[int]] | None = None
-    mine = sorted((lengths[i], i) for i in target)
-    give = [(lengths[i], [i]) for i in donor]
-    give += [(lengths[a] + lengths[b], [a, b]) for k, a in enumerate(donor[:64]) for b in donor[k + 1 : 64]]
-    take = [(0, [])] + [(n, [i]) for n, i in mine]
-    pairs = [(lengths[a] + lengths[b], [a, b]) for k, a in enumerate(target[:64]) for b in target[k + 1 : 64]]
-    sizes = sorted([*take, *pairs], key=lambda x: x[0])
-    only = [x[0] for x in sizes]
-    for n, items in give:
-        # the smallest exchange with n - size <= room
-        at = bisect.bisect_left(only, n - room)
-        while at < len(sizes) and n - only[at] > least:
-            back = sizes[at][1]
-            if len(items) + len(back) <= 3 and (len(items) == 1 or len(back) == 1):
-                if best is None or n - only[at] > best[0]:
-                    best = (n - only[at], items, back)
-                break
-            at += 1
-        if best and best[0] == room:
-            break
+
+    def tried(give: list[tuple[int, list[int]]], take: list[tuple[int, list[int]]]) -> bool:
+        nonlocal best
+        take = sorted(take, key=lambda x: x[0])
+        sizes = [x[0] for x in take]
+        for n, items in give:
+            at = bisect.bisect_left(sizes, n - room)  # the smallest exchange that leaves no more than the room
+            if at < len(sizes) and n - sizes[at] > max(least, best[0] if best else 0):
+                best = (n - sizes[at], items, take[at][1])
+                if best[0] == room:
+                    return True
+        return False
+
+    singles = lambda items: [(lengths[i], [i]) for i in items]
+    pairs = lambda items: [(lengths[a] + lengths[b], [a, b]) for k, a in enumerate(items[:PAIRED]) for b in items[k + 1 : PAIRED]]
+    one, other = singles(donor), singles(target)
+    if not tried(one, [(0, []), *other]) and not tried(pairs(donor), other):
+        tried(one, pairs(target))
     return best
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 6) -> list[list[int]]:
-    """Raises the sum of squared fills by exchanges between underfull bins until some run empty or nothing helps."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4) -> list[list[int]]:
+    """Raises the sum of squared fills by exchanges between underfull bins until some run empty or nothing helps.
+
+    In each round the emptiest bins give to the others, the fullest of these first.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
     for _ in range(rounds):
         changed = False
         open_bins = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
-        for donor in open_bins:  # the emptiest first
-            for target in sorted((b for b in open_bins if b != donor and 0 < fill[b] < capacity), key=lambda b: (-fill[b], b))[:48]:
+        for donor in open_bins[:DONORS]:
+            for target in sorted((b for b in open_bins if b != donor and 0 < fill[b] < capacity), key=lambda b: (-fill[b], b)):
                 if not 0 < fill[donor] < capacity:
                     break
                 # squares rise if the target ends up fuller than the donor was
