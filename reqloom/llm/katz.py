@@ -33,33 +33,45 @@ from reqloom.llm.common import crc_mod, delete_path, free_shuffles, ship, table,
 K = 7
 MIN_COUNT = 2
 #: Keys of each order, at most, that go to every task.
-TOP_KEYS = 1 << 20
-#: Tokens counted together before their counts are handed on.
-BLOCK_TOKENS = 1 << 21
-REMEMBERED, LONGEST = 400_000, 64
+TOP_WORDS, TOP_PAIRS = 1 << 20, 1 << 21
+#: Tokens counted together before their counts are handed on, and texts scored together.
+BLOCK_TOKENS, BLOCK_TEXTS = 1 << 22, 1000
+#: Words a worker remembers at most.
+REMEMBERED = 400_000
+#: Shares into which a history's counts are dealt, so that no task has all of a frequent word's; and those of all words and of beginnings.
+SHARES, MOST_SHARES = 16, 1024
 
 #: Hashes that no word has but by a chance of 2**-64: marks, not words.
 END, BEGIN, UNIGRAM = 1, 2, 3
 
-_words: dict[bytes, int] = {}
 
+class Vocabulary(dict):
+    """Numbers words as they come: word -> small number; ``ids[number]`` is the word's 64-bit hash."""
 
-def token_ids(text: bytes | None) -> np.ndarray:
-    """The 64-bit ids of a text's words, A-Z lower-cased, and the end token's."""
-    words = text.lower().split() if text else []
-    if len(_words) > REMEMBERED:
-        _words.clear()
-    ids = list(map(_words.get, words))
-    for i, known in enumerate(ids):
-        if known is None:
-            word = words[i]
-            ids[i] = _words.get(word)
-            if ids[i] is None:
-                ids[i] = xxhash.xxh64_intdigest(word) - (1 << 63)
-                if len(word) <= LONGEST:
-                    _words[word] = ids[i]
-    ids.append(END)
-    return np.array(ids, np.int64)
+    def __init__(self):
+        super().__init__()
+        self._ids = np.array([END, BEGIN, *[0] * 1022], np.int64)
+        self.n = 2
+
+    def __missing__(self, word: bytes) -> int:
+        number = self.n
+        if number == len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros(number, np.int64)])
+        self._ids[number] = xxhash.xxh64_intdigest(word) - (1 << 63)
+        self[word] = number
+        self.n += 1
+        return number
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self._ids[: self.n]
+
+    def numbers(self, text: bytes | None) -> np.ndarray:
+        """The words' numbers, A-Z lower-cased, then 0 for the end."""
+        words = text.lower().split() if text else []
+        out = np.zeros(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return out
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -70,32 +82,67 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
+def _before(ends: np.ndarray, tokens: np.ndarray, begin: int) -> np.ndarray:
+    """Each token's predecessor; ``ends``: one past each text's last token."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[0] = begin
+    before[ends[:-1]] = begin
+    return before
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, w, n) of blocks of texts, those of one history together; words' own counts have UNIGRAM for h."""
+    words = Vocabulary()
     held: list[np.ndarray] = []
     size = 0
 
     def block() -> pa.RecordBatch:
-        ids = np.concatenate(held)
-        before = np.concatenate([[BEGIN], ids[:-1]])
-        before[before == END] = BEGIN
-        order = np.lexsort((ids, before))
-        h, w = before[order], ids[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-        word, n = np.unique(ids, return_counts=True)
-        hs = np.concatenate([h[new], np.full(len(word), UNIGRAM)])
-        return pa.RecordBatch.from_arrays([pa.array(hs), pa.array(np.concatenate([w[new], word])), pa.array(np.concatenate([np.diff(np.append(new, len(h))), n]))], ["h", "w", "n"])
+        tokens = np.concatenate(held)
+        ends = np.cumsum([len(x) for x in held])
+        pairs = (_before(ends, tokens, 1).astype(np.int64) << 32) | tokens
+        pairs.sort()
+        new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        own = np.bincount(tokens, minlength=words.n)
+        seen = np.flatnonzero(own)
+        h = np.concatenate([words.ids[pairs[new] >> 32], np.full(len(seen), UNIGRAM)])
+        w = np.concatenate([words.ids[pairs[new] & 0xFFFFFFFF], words.ids[seen]])
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(np.concatenate([np.diff(np.append(new, len(pairs))), own[seen]]))], ["h", "w", "n"])
 
     for batch in batches:
         for text in batch.column(0).cast(pa.binary()):
-            held.append(token_ids(text.as_py()))
+            held.append(words.numbers(text.as_py()))
             size += len(held[-1])
-            if size >= BLOCK_TOKENS:
+            if size >= BLOCK_TOKENS or words.n > REMEMBERED:
                 yield block()
                 held, size = [], 0
+                if words.n > REMEMBERED:
+                    words = Vocabulary()
     if held:
         yield block()
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums n over equal (h, w); rows come sorted, and a pair may go on in the next batch."""
+    rest = [np.zeros(0, np.int64)] * 3
+
+    def runs(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+        return pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(w[new]), pa.array(np.add.reduceat(n, new))], ["h", "w", "c"])
+
+    for batch in batches:
+        h, w, n = (np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True))
+        if not len(h):
+            continue
+        last = np.flatnonzero((h != h[-1]) | (w != w[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield runs(h[:cut], w[:cut], n[:cut])
+        rest = [h[cut:], w[cut:], n[cut:]]
+    if len(rest[0]):
+        yield runs(*rest)
+
+
 def discounts(counts: dict[int, int], k: int = K) -> dict[int, float]:
     """Katz's d for counts 1 to k from counts of counts; (r - 0.5) / r where these give none within (0, 1)."""
     n = [0.0, *(float(counts.get(r, 0)) for r in range(1, k + 2))]
@@ -117,7 +164,7 @@ def _discounted(count: str, d: dict[int, float]):
 
 
 class Model:
-    """Tables (w, c, p, known, base, score) of words and (h, w, c, key, score) of kept bigrams, and the constants.
+    """Tables (w, c, known, base, score) of words and (key, h, w, c, score) of kept bigrams, and the constants.
 
     ``unknown`` and ``base_unknown``: an unseen word's log10 scores. A table's
     ``base`` and ``score`` are what its key adds to those.
@@ -133,7 +180,10 @@ def train(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT, k
     spark = docs.sparkSession
     ship(spark)
     raw = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted, "h long, w long, n long")
-    counts = raw.groupBy("h", "w").agg(F.sum("n").alias("c"))
+    # blocks have each pair once, so summing again before the shuffle would gain little; their order compresses well
+    shares = F.when(F.col("h").isin(UNIGRAM, BEGIN), MOST_SHARES).otherwise(SHARES)
+    dealt = raw.repartition("h", F.pmod("w", shares)).sortWithinPartitions("h", "w")
+    counts = dealt.mapInArrow(_summed, "h long, w long, c long")
     seen = Observation(f"bigrams-{id(docs)}")
     is_word = F.col("h") == UNIGRAM
     tally = [F.coalesce(F.sum(((F.col("c") == r) & ~is_word).cast("long")), F.lit(0)).alias(f"n{r}") for r in range(1, k + 2)]
@@ -166,7 +216,8 @@ def train(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT, k
 
     p = _discounted("c", d2) / F.col("den")
     gain = F.log10(p) - F.log10("alpha") - F.log10("p")
-    bigrams, _ = written_at(priced.join(weighed, "h").select("h", "w", "c", gain.alias("score")), "bigram-scores")
+    scores = priced.join(weighed, "h").select("h", "w", "c", gain.alias("score")).mapInArrow(_keyed, "key long, h long, w long, c long, score double")
+    bigrams, _ = written_at(scores, "bigram-scores")
     base_unknown = float(-np.log10(tokens + types + 1))
     unknown = float(np.log10(p_unknown)) if tokens else base_unknown
     alphas = weighed.select(F.col("h").alias("w"), "alpha")
@@ -180,6 +231,12 @@ def train(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT, k
     return Model(scored, bigrams, int(tokens), int(types), unknown, base_unknown, float(np.log10(begin["alpha"])) if begin else 0.0)
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "w"))
+        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w)), *batch.columns], ["key", *batch.schema.names])
+
+
 def _threshold(counted: DataFrame, most: int) -> int:
     """The least count such that at most ``most`` rows have it or more; reads counts of counts only."""
     n, least = 0, 1 << 62
@@ -205,68 +262,84 @@ class Top:
         """(whether each key is here, its place)."""
         if not len(self.keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        order = np.argsort(keys)  # searching in order is many times faster than at random
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
         return self.keys[at] == keys, at
 
 
-_ROW = pa.schema([("key", pa.int64()), ("ref", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+_OWN = np.dtype([("doc_id", "<i8"), ("named", "<i8"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+_ASKED = "key long, ref long, own binary"
 
 
-def _scored(batches: Iterator[pa.RecordBatch], words: Top, pairs: Top, unknown: float, base_unknown: float, begin: float) -> Iterator[pa.RecordBatch]:
-    """One row for each text with what the top tables give, and a row for each other key that it asks for."""
+def _scored(batches: Iterator[pa.RecordBatch], top_words: Top, top_pairs: Top, unknown: float, base_unknown: float, begin: float) -> Iterator[pa.RecordBatch]:
+    """For each text a row ``own`` with what the top tables give, and a row for each other key that it asks for."""
     from pyspark import TaskContext
 
     ref = TaskContext.get().partitionId() << 33
+    words = Vocabulary()
+    known = np.zeros(0, bool)
+    gains = {c: np.zeros(0) for c in ("base", "score")}
+
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            every = [token_ids(x.as_py()) for x in part.column(1).cast(pa.binary())]
+        for lo in range(0, batch.num_rows, BLOCK_TEXTS):
+            part = batch.slice(lo, BLOCK_TEXTS)
+            if words.n > REMEMBERED:
+                words, known, gains = Vocabulary(), known[:0], {c: x[:0] for c, x in gains.items()}
+            every = [words.numbers(x.as_py()) for x in part.column(1).cast(pa.binary())]
+            here, at = top_words.find(words.ids[len(known) :])
+            known = np.concatenate([known, here])
+            gains = {c: np.concatenate([x, np.where(here, top_words.values[c][at] if len(top_words.keys) else 0.0, 0.0)]) for c, x in gains.items()}
             sizes = np.array([len(x) for x in every])
-            ids = np.concatenate(every)
+            tokens = np.concatenate(every)
             row = np.repeat(np.arange(len(every)), sizes)
-            before = np.concatenate([[BEGIN], ids[:-1]])
-            before[np.cumsum(sizes)[:-1]] = BEGIN
-            keys = pair_keys(before, ids)
-            here, at = words.find(ids)
-            known = np.bincount(row[here], minlength=len(every))
-            base = np.bincount(row[here], words.values["base"][at[here]], len(every))
-            score = np.bincount(row[here], words.values["score"][at[here]], len(every))
-            here2, at2 = pairs.find(keys)
-            score += np.bincount(row[here2], pairs.values["score"][at2[here2]], len(every))
-            asked_row = np.concatenate([row[~here], row[~here2]])
-            asked = np.concatenate([ids[~here], keys[~here2]])
-            order = np.lexsort((asked, asked_row))
-            asked, asked_row = asked[order], asked_row[order]
-            new = np.flatnonzero(np.concatenate([[True], (asked[1:] != asked[:-1]) | (asked_row[1:] != asked_row[:-1])])) if len(asked) else np.zeros(0, np.int64)
-            n = np.diff(np.append(new, len(asked))).astype(np.int32)
+            ids = words.ids[tokens]
+            keys = pair_keys(words.ids[_before(np.cumsum(sizes), tokens, 1)], ids)
+            found, place = top_pairs.find(keys)
+            per_text = lambda x, row=row, n=len(every): np.bincount(row, x, n)
+            own = np.zeros(len(every), _OWN)
+            own["doc_id"] = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            own["named"] = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+            own["n_tokens"], own["n_known"] = sizes, per_text(known[tokens])
+            own["base"] = per_text(gains["base"][tokens]) + sizes * base_unknown
+            more = np.where(found, top_pairs.values["score"][place], 0.0) if len(top_pairs.keys) else np.zeros(len(keys))
+            own["score"] = per_text(gains["score"][tokens]) + per_text(more) + sizes * unknown + begin
             refs = ref + lo + np.arange(len(every), dtype=np.int64)
-            own = [pair_keys(refs, refs), refs, np.zeros(len(every), np.int32), part.column(0), sizes, known, base + sizes * base_unknown, score + sizes * unknown + begin]
-            yield pa.RecordBatch.from_arrays([x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(own, _ROW.types, strict=True)], schema=_ROW)
-            nothing = [pa.nulls(len(new), t) for t in _ROW.types[3:]]
-            yield pa.RecordBatch.from_arrays([pa.array(asked[new]), pa.array(refs[asked_row[new]]), pa.array(n), *nothing], schema=_ROW)
+            bytes_of = own.tobytes()
+            owns = pa.array([bytes_of[i : i + _OWN.itemsize] for i in range(0, len(bytes_of), _OWN.itemsize)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(refs, refs)), pa.array(refs), owns], ["key", "ref", "own"])
+            ask_word, ask_pair = ~known[tokens], ~found
+            asked, of = np.concatenate([ids[ask_word], keys[ask_pair]]), np.concatenate([row[ask_word], row[ask_pair]])
+            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(refs[of]), pa.nulls(len(asked), pa.binary())], ["key", "ref", "own"])
         ref += batch.num_rows
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", top_keys: int = TOP_KEYS) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", top_words: int = TOP_WORDS, top_pairs: int = TOP_PAIRS) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score), one row for each row of ``docs``."""
     spark = docs.sparkSession
     ship(spark)
-    to_key = F.pandas_udf(lambda h, w: __import__("pandas").Series(pair_keys(h.to_numpy(np.int64), w.to_numpy(np.int64))), "long")
     word_rows = model.words.select(F.col("w").alias("key"), "c", "known", "base", "score")
-    pair_rows = model.bigrams.select(to_key("h", "w").alias("key"), "c", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "score")
-    least1, least2 = _threshold(model.words, top_keys), _threshold(model.bigrams, top_keys)
-    words = Top(word_rows.where(F.col("c") >= least1).toArrow(), ["base", "score"])  # at most top_keys rows each
-    pairs = Top(pair_rows.where(F.col("c") >= least2).select("key", "score").toArrow(), ["score"])
+    pair_rows = model.bigrams.select("key", "c", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "score")
+    least1, least2 = _threshold(model.words, top_words), _threshold(model.bigrams, top_pairs)
+    words = Top(word_rows.where(F.col("c") >= least1).toArrow(), ["base", "score"])  # at most top_words rows
+    pairs = Top(pair_rows.where(F.col("c") >= least2).select("key", "score").toArrow(), ["score"])  # at most top_pairs rows
     held = spark.sparkContext.broadcast((words, pairs))
     constants = (model.unknown, model.base_unknown, model.begin)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    asked = rows.mapInArrow(lambda b: _scored(b, *held.value, *constants), "key long, ref long, n int, doc_id long, n_tokens long, n_known long, base double, score double")
+    asked = rows.mapInArrow(lambda b: _scored(b, *held.value, *constants), _ASKED)
     rest = word_rows.where(F.col("c") < least1).unionByName(pair_rows.where(F.col("c") < least2))
-    rest = rest.select("key", F.col("known").alias("v_known"), F.col("base").alias("v_base"), F.col("score").alias("v_score"))
-    joined = asked.join(rest.hint("shuffle_hash"), "key", "left")
-    each = lambda own, value: F.sum(F.coalesce(F.col(own), F.col("n") * F.col(value), F.lit(0)))
-    summed = joined.groupBy("ref").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), each("n_known", "v_known").cast("long").alias("n_known"), each("base", "v_base").alias("base_score"), each("score", "v_score").alias("score"))
-    return summed.select("doc_id", "n_tokens", "n_known", "base_score", "score")
+    joined = asked.join(rest.select("key", "known", "base", "score").hint("shuffle_hash"), "key", "left")
+    summed = joined.groupBy("ref").agg(F.max("own").alias("own"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    return summed.mapInArrow(_finished, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = np.frombuffer(b"".join(batch.column("own").to_pylist()), _OWN)
+        asked = {c: batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("known", "base", "score")}
+        ids = pa.array(own["doc_id"].copy(), pa.int64(), mask=own["named"] == 0)
+        numbers = [own["n_tokens"].copy(), own["n_known"] + asked["known"], own["base"] + asked["base"], own["score"] + asked["score"]]
+        yield pa.RecordBatch.from_arrays([ids, *map(pa.array, numbers)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
