@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SMALL = 2_000_000
 #: Partial sums that meet on the driver, at most; partitions' sums are first added up in so many groups.
 GROUPS = 32
-SWEEPS = 6
+SWEEPS = 20
 
 
 class Sparse:
@@ -93,8 +93,12 @@ def fit_local(x: Sparse, k: int, seed: int = 42, rounds: int = 300, tol: float =
     for _ in range(rounds):
         w = solve_weights(x, h)
         wx, ww = x.transposed_times(w).T, w.T @ w
-        h = improve_topics(h, wx, ww)
-        losses.append(loss(square, wx, ww, h))
+        after = improve_topics(h, wx, ww)
+        now = loss(square, wx, ww, after)
+        if losses and now > losses[-1]:
+            break  # the weights are solved only so closely
+        h = after
+        losses.append(now)
         if len(losses) > 1 and losses[-2] - losses[-1] <= tol * losses[0]:
             break
     return h, losses
@@ -153,7 +157,7 @@ def fit_spread(rows: DataFrame, width: int, k: int, seed: int = 42, rounds: int
         return np.zeros((k, width)), []
     total, square, n = first[1]
     basis, _ = np.linalg.qr(first[0].reshape(width, k + 8))
-    gram = _summed(rows, width, (0, 0), lambda x: [(lambda y: y.T @ y)(x.times(basis)).ravel()])[0].reshape(k + 8, k + 8)
+    gram = _summed(rows, width, (0, 0), lambda x: [(lambda y: y.T @ y)(x.times(basis)).ravel()])[0].reshape(basis.shape[1], basis.shape[1])
     values, vectors = np.linalg.eigh(gram)
     order = np.argsort(-values)
     small = (np.sqrt(np.maximum(values[order], 0))[:, None] * vectors[:, order].T) @ basis.T
@@ -162,8 +166,12 @@ def fit_spread(rows: DataFrame, width: int, k: int, seed: int = 42, rounds: int
     for _ in range(rounds):
         sums = _summed(rows, width, (k, width), lambda x, h=h: (lambda w: [x.transposed_times(w).T.ravel(), (w.T @ w).ravel()])(solve_weights(x, h)))
         wx, ww = sums[0].reshape(k, width), sums[1].reshape(k, k)
-        h = improve_topics(h, wx, ww)
-        losses.append(loss(square, wx, ww, h))
+        after = improve_topics(h, wx, ww)
+        now = loss(square, wx, ww, after)
+        if losses and now > losses[-1]:
+            break
+        h = after
+        losses.append(now)
         if len(losses) > 1 and losses[-2] - losses[-1] <= tol * losses[0]:
             break
     return h, losses
