@@ -10,8 +10,6 @@ What is new is appended.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +50,7 @@ class DigestIndex:
 
     def add(self, groups: DataFrame) -> DataFrame:
         """Appends the (digest, keep_id, group_size) rows of new digests and returns them."""
-        fresh = written(groups.join(self.read().select("digest"), "digest", "left_anti").select("digest", "keep_id", "group_size"), "fresh-digests")
+        fresh = written(groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti").select("digest", "keep_id", "group_size"), "fresh-digests")
         fresh.repartition(self.buckets, "digest").write.mode("append").insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
         return fresh
@@ -110,13 +108,13 @@ def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_
     spark = docs.sparkSession
     own = index or DigestIndex(spark, scratch_path(spark, "digest-index"))
     fresh = own.add(_groups(_pairs(docs, id_col, text_col)))
-    mine, keep, number = (fresh_name(docs.columns, x) for x in ("row_digest", "row_keep", "row_number"))
+    mine, keep, number, tag = (fresh_name(docs.columns, x) for x in ("of_digest", "row_keep", "row_number", "row_digest"))
     decided = fresh.select(F.col("digest").alias(mine), F.col("keep_id").alias(keep))
-    tagged = docs.withColumn(f"{mine}_own", digest(text_col))
-    same = reduce(lambda a, b: a & b, [F.col(f"{mine}_own") == F.col(mine), F.col(id_col).cast("long").eqNullSafe(F.col(keep))])
+    tagged = docs.withColumn(tag, digest(text_col))
+    same = (F.col(tag) == F.col(mine)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep))
     left = tagged.join(decided, same, "left_semi")
-    once = Window.partitionBy(f"{mine}_own", F.col(id_col).cast("long")).orderBy(F.lit(1))
-    return left.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).drop(number, f"{mine}_own")
+    once = Window.partitionBy(tag, F.col(id_col).cast("long")).orderBy(F.lit(1))
+    return left.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).drop(number, tag)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

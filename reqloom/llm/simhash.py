@@ -280,11 +280,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     odd = counts.where(f"(n > 1 or `{mine}` is null) and least").select(mine)
     if odd.isEmpty():
         return plain
-    fp, root, first = (fresh_name(docs.columns, x) for x in ("row_fp", "row_root", "row_number"))
+    fp, root, first, known_fp, known_id = (fresh_name(docs.columns, x) for x in ("row_fp", "row_root", "row_number", "known_fp", "known_id"))
     to_fp = F.pandas_udf(lambda texts: texts.map(lambda x: fingerprint(None if x is None else x.encode(), shingle)).astype("int64"), "long")
     again = docs.join(odd, row_id.eqNullSafe(F.col(mine)), "left_semi").withColumn(fp, to_fp(F.col(text_col)))
-    known = by_fp.select(F.col("of_fp").alias(f"{fp}_known"), F.col("root").alias(root), F.col("component_id").alias(f"{root}_id"))
-    again = again.join(known, F.col(fp) == F.col(f"{fp}_known")).where(row_id.eqNullSafe(F.col(f"{root}_id")))
+    known = by_fp.select(F.col("of_fp").alias(known_fp), F.col("root").alias(root), F.col("component_id").alias(known_id))
+    again = again.join(known, F.col(fp) == F.col(known_fp)).where(row_id.eqNullSafe(F.col(known_id)))
     again = again.withColumn(first, F.row_number().over(Window.partitionBy(root).orderBy(fp))).where(F.col(first) == 1)
     return plain.unionByName(again.select(*[again[f"`{c}`"] for c in docs.columns]))
 
