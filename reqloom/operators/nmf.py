@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reqloom.shipping import ship
+
 #: Non-zeros up to which one task fits the whole matrix.
 SMALL = 2_000_000
 #: Partial sums that meet on the driver, at most; partitions' sums are first added up in so many groups.
@@ -179,6 +181,7 @@ def fit_spread(rows: DataFrame, width: int, k: int, seed: int = 42, rounds: int
 
 def fit(rows: DataFrame, width: int, k: int, seed: int = 42, rounds: int = 300, tol: float = 1e-4, small: int = SMALL) -> tuple[np.ndarray, list[float]]:
     """(H, losses), in one task if the table has few non-zeros, else spread."""
+    ship(rows.sparkSession)
     nnz = rows.agg(F.sum(F.size("idx"))).first()[0] or 0
     if not nnz:
         return np.zeros((k, width)), []
@@ -197,6 +200,7 @@ def fit(rows: DataFrame, width: int, k: int, seed: int = 42, rounds: int = 300,
 
 def weights(rows: DataFrame, h: np.ndarray) -> DataFrame:
     """(key, weights): each row's weights for H, summing to one, or all zero."""
+    ship(rows.sparkSession)
     key = rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

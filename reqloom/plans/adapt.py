@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from reqloom.functions import numeric as N
 from reqloom.operators import preprocess, review, sentences, topics
+from reqloom.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
