@@ -8,21 +8,22 @@ notebook) gets a temporary folder of its own.
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-_shipped: set[str] = set()
+from reqloom.shipping import ship
+
+__all__ = ["ascii_lower", "crc_mod", "delete_path", "free_shuffles", "fresh_name", "if_few", "scratch_path", "shared_dir", "ship", "slices", "table", "written", "written_at"]
+
+#: Rows of a few words each that are broadcast at most; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,22 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per Spark application."""
-    root = str(_PACKAGE.parent)
-    context = spark.sparkContext
-    if root in os.environ.get("PYTHONPATH", "").split(":") or context.applicationId in _shipped:
-        return
-    folder = Path(tempfile.mkdtemp(prefix="reqloom-ship-"))
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = folder / "reqloom_package.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for source in sorted(_PACKAGE.rglob("*.py")):
-            out.write(source, source.relative_to(_PACKAGE.parent))
-    context.addPyFile(str(target))
-    _shipped.add(context.applicationId)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; own temporary one only where none is set."""
     context = spark.sparkContext
@@ -88,6 +73,11 @@ def written_at(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def if_few(df: DataFrame) -> DataFrame:
+    """A stored table of small rows, to be broadcast if it has at most BROADCAST_ROWS; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished jobs (it follows the JVM's collector)."""
     spark.sparkContext._jvm.System.gc()

@@ -67,7 +67,7 @@ def _starts(path: str, text: str) -> list[int]:
     """The offset in ``text`` at which each token begins."""
     library = _library(path)
     if path.endswith(".model"):
-        return [piece.begin for piece in library.encode(text, out_type="immutable_proto").pieces]
+        return [piece.begin for piece in library.encode(text, return_type="proto").pieces]
     return [at for at, _ in library.encode(text, add_special_tokens=False).offsets]
 
 

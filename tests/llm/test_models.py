@@ -96,7 +96,7 @@ def slow_katz(train, texts, k=katz.K, min_count=katz.MIN_COUNT):
         den[h] = hist[h] if hist[h] - taken > 1e-9 * hist[h] else hist[h] + 1
         alpha[h] = (1 - taken / den[h]) / (1 - sum(low(w) for w, _ in followers))
     prob = lambda h, w: d2.get(kept[h, w], 1.0) * kept[h, w] / den[h] if (h, w) in kept else alpha.get(h, 1.0) * low(w)
-    scores = [sum(math.log10(prob(h, w)) for h, w in zip(["<s>", *(x := tok(t))[:-1]], x, strict=True)) for t in texts]
+    scores = [sum(math.log10(prob(h, w)) for h, w in zip(["<s>", *tok(t)[:-1]], tok(t), strict=True)) for t in texts]
     sums = [sum(prob(h, w) for w in uni) + prob(h, "unseen word") for h in [*after, "unseen history"]]
     return scores, sums
 
