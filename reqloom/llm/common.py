@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from reqloom.shipping import ship
 
-__all__ = ["ascii_lower", "crc_mod", "delete_path", "free_shuffles", "fresh_name", "if_few", "scratch_path", "shared_dir", "ship", "slices", "table", "written", "written_at"]
+__all__ = ["ascii_lower", "clean_up", "crc_mod", "delete_path", "free_shuffles", "fresh_name", "if_few", "scratch_path", "shared_dir", "ship", "slices", "table", "written", "written_at"]
 
 #: Rows of a few words each that are broadcast at most; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -48,7 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/reqloom/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/reqloom/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application. Results that weren't written elsewhere can't be read afterwards."""
+    delete_path(spark, _own_folder(spark))
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, count
 from operator import not_
 
 import numpy as np
@@ -38,21 +39,33 @@ END_ID = 1
 GROUP = 4096
 #: Underfull sequences that give to others in a round of the local search, and documents of a sequence that are paired.
 DONORS, PAIRED = 12, 32
-#: Words a worker remembers at most, and the longest it remembers.
-REMEMBERED, LONGEST = 1_000_000, 64
+#: Pre-tokens a worker remembers at most, the longest it remembers, and bytes of text it works on at a time.
+REMEMBERED, LONGEST, SLICE_BYTES = 800_000, 64, 4 << 20
 
 #: Unknown pre-tokens that are encoded in one call.
 JOINED = 256
 
 
+def _basic(category: str) -> str:
+    """The ranges of a character class for the first 65,536 characters whose category begins so."""
+    found = [i for i in range(1 << 16) if unicodedata.category(chr(i))[0] == category]
+    starts = [i for k, i in enumerate(found) if not k or found[k - 1] != i - 1]
+    ends = [i for k, i in enumerate(found) if k + 1 == len(found) or found[k + 1] != i + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+
+def _narrow_parts(letters: str, numbers: str, spaces: str):
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+").findall
+
+
 class Encoder:
-    """Ids of texts by an end-of-word vocabulary, remembering words and their parts.
+    """Ids of texts by an end-of-word vocabulary, remembering the ids of pre-tokens.
 
-    The vocabulary drops white space and never joins across it, so a text's ids
-    are those of its words (cut at ASCII white space) one after the other; a
-    word's are those of its pre-tokens. Unknown pre-tokens are encoded together,
-    between spaces, and told apart by the tokens that end a word. If these
-    aren't as many as the pre-tokens, the words are encoded one by one.
+    A text's pre-tokens are found by the vocabulary's own rule (normal form C,
+    lower case, one pattern), and each is encoded by the library once. Unknown
+    ones are encoded together, between spaces, and told apart by the tokens that
+    end a word; if these aren't as many, they are encoded one by one. Texts with
+    special strings inside are left to the library whole.
     """
 
     def __init__(self, path: str):
@@ -67,15 +80,17 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.special = tuple(token.content for token in self.tokenizer.get_added_tokens_decoder().values())
-        # fixed values: the vocabulary's own pre-token pattern
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.words: dict[bytes, bytes] = {}
+        # fixed values: the vocabulary's pre-token pattern; below with the classes that it comes to in narrower texts
+        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
+        self.ascii_parts = _narrow_parts("a-z", "0-9", r" \t\n\r\f\v")
+        self.basic_parts = _narrow_parts(_basic("L"), _basic("N"), _basic("Z") + r"\t\n\r\f\v\x85")
+        self.beyond_basic = re.compile("[\U00010000-\U0010ffff]").search
         self.known: dict[str, bytes] = {}
 
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, parts: list[str]) -> dict[str, bytes]:
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
         made: dict[str, bytes] = {}
         for at in range(0, len(parts), JOINED):
             some = parts[at : at + JOINED]
@@ -83,57 +98,36 @@ class Encoder:
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
                 raw, lo = ids.tobytes(), 0
-                for part, hi in zip(some, stops.tolist(), strict=True):
-                    made[part] = raw[4 * lo : 4 * hi]
+                for part, hi in zip(some, (4 * stops).tolist(), strict=True):
+                    made[part] = raw[lo:hi]
                     lo = hi
             else:
                 made.update(zip(some, self._one_by_one(some), strict=True))
         return made
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        single, lone, several, cut, odd = [], [], [], [], []
-        findall, nfc = self.parts.findall, unicodedata.normalize
-        for word in words:
-            text = word.decode()
-            if not text.isascii():
-                text = nfc("NFC", text).lower()
-            if text.isalpha():
-                single.append(word)
-                lone.append(text)
-            elif "<|" in text:
-                odd.append(word)
-            else:
-                several.append(word)
-                cut.append(findall(text.lower()))
-        fresh = set(lone)
-        fresh.update(*cut)
-        known = self.known
-        new = self._learn_parts(list(fresh.difference(known)))
-        known.update(new)
-        made = dict(zip(single, map(known.__getitem__, lone), strict=True))
-        made.update(zip(several, [b"".join([known[x] for x in parts]) for parts in cut], strict=True))
-        made.update(zip(odd, self._one_by_one([w.decode() for w in odd]), strict=True))
-        for part in new:
-            if len(part) > LONGEST:
-                del known[part]
-        return made
+    def _cut(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii_parts(text.lower())
+        # the library lowers character by character: a sigma at a word's end is no special case
+        lowered = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        return self.parts(lowered) if self.beyond_basic(lowered) else self.basic_parts(lowered)
 
-    def encoded(self, texts: list[bytes]) -> list[bytes]:
+    def encoded(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > REMEMBERED:
-            self.words = {}
         if len(self.known) > REMEMBERED:
             self.known = {}
-        # the vocabulary is in lower case, so A-Z may be lowered first, but for the special strings
-        words = [x.split() if b"<|" in x else x.lower().split() for x in texts]
-        known = self.words
-        parts = [list(map(known.get, x)) for x in words]
-        fresh: set[bytes] = set()
-        for x, ids in zip(words, parts, strict=True):
-            fresh.update(compress(x, map(not_, ids)))
-        made = self._learn(fresh)
-        known.update((word, ids) for word, ids in made.items() if len(word) <= LONGEST)
-        return [b"".join([own or made[word] for word, own in zip(x, ids, strict=True)]) for x, ids in zip(words, parts, strict=True)]
+        known = self.known
+        odd = [k for k, x in enumerate(texts) if "<|" in x and any(s in x for s in self.special)]
+        whole = dict(zip(odd, self._one_by_one([texts[k] for k in odd]), strict=True))
+        cuts = [[] if k in whole else self._cut(x) for k, x in enumerate(texts)]
+        ids = [list(map(known.get, x)) for x in cuts]
+        missing = [list(compress(count(), map(not_, own))) for own in ids]
+        made = self._learn(list({x[at] for x, places in zip(cuts, missing, strict=True) for at in places}))
+        for x, own, places in zip(cuts, ids, missing, strict=True):
+            for at in places:
+                own[at] = made[x[at]]
+        known.update((part, own) for part, own in made.items() if len(part) <= LONGEST)
+        return [whole[k] if k in whole else b"".join(own) for k, own in enumerate(ids)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -145,8 +139,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
         _encoders[path] = Encoder(path)
     encoder = _encoders[path]
     for batch in batches:
-        for part in slices(batch, 1):
-            texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
+        for part in slices(batch, 1, SLICE_BYTES):
+            texts = [x or "" for x in part.column(1).to_pylist()]
             rows: list[tuple] = []
             for doc, ids in zip(part.column(0).to_pylist(), encoder.encoded(texts), strict=True):
                 ids += end
