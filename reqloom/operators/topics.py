@@ -210,7 +210,8 @@ def score_grid(assigned: DataFrame, fitted: DataFrame, top: int = 10, window: in
         counts, n = window_counts(texts, keyed.select(F.explode("words").alias("word")), window)
         coherent = npmi(counts, n, keyed, top).groupBy(F.floor(F.col("topic_id") / 1000).cast("int").alias("k")).agg(F.avg("npmi").alias("npmi"))
         varied = mine.select("k", "topic_id", F.explode("words").alias("word")).groupBy("k").agg((F.countDistinct("word") / (F.countDistinct("topic_id") * top)).alias("diversity"))
-        scored = coherent.join(varied, "k").select(F.lit(topic).alias("global_topic_id"), "k", "npmi", "diversity")
+        # topics of a single word have no pairs, so no coherence
+        scored = varied.join(coherent, "k", "left").select(F.lit(topic).alias("global_topic_id"), "k", F.coalesce("npmi", F.lit(0.0)).alias("npmi"), "diversity")
         out = scored if out is None else out.unionByName(scored)
     spark: SparkSession = assigned.sparkSession
     return out if out is not None else spark.createDataFrame([], "global_topic_id int, k int, npmi double, diversity double")
