@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reqloom.llm.common import ascii_lower, fresh_name, table, written
+from reqloom.llm.common import ascii_lower, fresh_name, if_few, table, written
 
 WINDOW = 13
 SHINGLE = 3
@@ -141,7 +141,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text)
     bad = written(found.where(CONTAMINATED).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct(), "contaminated")
     same = docs[id_col].cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs[text_col]) == F.col(bad_hash))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(if_few(bad), same, "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reqloom.llm.common import delete_path, fresh_name, scratch_path, table, written
+from reqloom.llm.common import delete_path, fresh_name, if_few, scratch_path, table, written
 
 BUCKETS = 16
 
@@ -104,17 +104,30 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col:
 
 
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, as :func:`exact_duplicates` decides; columns stay as they are."""
+    """The rows of ``docs`` that stay, as :func:`exact_duplicates` decides; columns stay as they are.
+
+    Only digests that occur more than once, or that the index had, are joined
+    back. These are broadcast if they are few (BROADCAST_ROWS), so that texts
+    aren't shuffled; else the join is a sort-merge join whose hot digests AQE splits.
+    """
     spark = docs.sparkSession
     own = index or DigestIndex(spark, scratch_path(spark, "digest-index"))
-    fresh = own.add(_groups(_pairs(docs, id_col, text_col)))
-    mine, keep, number, tag = (fresh_name(docs.columns, x) for x in ("of_digest", "row_keep", "row_number", "row_digest"))
-    decided = fresh.select(F.col("digest").alias(mine), F.col("keep_id").alias(keep))
-    tagged = docs.withColumn(tag, digest(text_col))
-    same = (F.col(tag) == F.col(mine)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep))
-    left = tagged.join(decided, same, "left_semi")
-    once = Window.partitionBy(tag, F.col(id_col).cast("long")).orderBy(F.lit(1))
-    return left.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).drop(number, tag)
+    pairs = written(_pairs(docs, id_col, text_col), "digest-pairs")
+    fresh = own.add(_groups(pairs)).select("digest", F.lit(True).alias("fresh"))
+    groups = pairs.groupBy("digest").agg(F.max("doc_id").alias("keep"), F.sum("n").alias("size"), F.max_by("n", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("times"))
+    held = groups.join(fresh, "digest", "left") if index else groups.withColumn("fresh", F.lit(True))
+    mine, keep, whole, number, tag = (fresh_name(docs.columns, x) for x in ("of_digest", "row_keep", "row_whole", "row_number", "row_digest"))
+    decided = held.where("size > 1 or fresh is null").select(F.col("digest").alias(mine), F.col("keep").alias(keep), (F.col("fresh") & (F.col("times") == 1)).alias(whole), F.col("fresh").alias(number))
+    decided = written(decided, "decided-digests")
+    tagged, row_id = docs.withColumn(tag, digest(text_col)), F.col(id_col).cast("long")
+    joined = tagged.join(if_few(decided.select(mine, keep, whole)), F.col(tag) == F.col(mine), "left")
+    plain = joined.where(F.col(mine).isNull() | (F.coalesce(whole, F.lit(False)) & row_id.eqNullSafe(F.col(keep)))).select(*(joined[f"`{c}`"] for c in docs.columns))
+    repeated = written(decided.where(F.col(number) & ~F.coalesce(whole, F.lit(False))).select(mine, keep), "repeated-digests")
+    if repeated.isEmpty():
+        return plain
+    again = tagged.join(if_few(repeated), (F.col(tag) == F.col(mine)) & row_id.eqNullSafe(F.col(keep)), "left_semi")
+    once = again.withColumn(number, F.row_number().over(Window.partitionBy(tag).orderBy(F.lit(1)))).where(F.col(number) == 1)
+    return plain.unionByName(once.drop(number, tag))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

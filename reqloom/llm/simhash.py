@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reqloom.llm.common import fresh_name, ship, table, written
+from reqloom.llm.common import fresh_name, if_few, ship, table, written
 from reqloom.llm.components import components
 
 RADIUS = 3
@@ -274,15 +274,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     placed = fps.join(by_fp, fps["fp"] == by_fp["of_fp"])
     mine = fresh_name(docs.columns, "of_id")
     counts = placed.groupBy(F.col("doc_id").alias(mine)).agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("least"))
-    counts = written(counts, "fingerprint-ids")
     row_id = F.col(id_col).cast("long")
-    plain = docs.join(counts.where(f"n = 1 and `{mine}` is not null and least").select(mine), row_id == F.col(mine), "left_semi")
-    odd = counts.where(f"(n > 1 or `{mine}` is null) and least").select(mine)
-    if odd.isEmpty():
+    # ids that go, and those that need a closer look: few beside those that stay, so texts needn't be shuffled
+    gone = written(counts.where(f"`{mine}` is not null and not (n = 1 and least)").select(mine, (F.col("least") & (F.col("n") > 1)).alias("odd")), "fingerprint-ids")
+    plain = docs.where(F.col(id_col).isNotNull()).join(if_few(gone.select(mine)), row_id == F.col(mine), "left_anti")
+    nameless = written(by_fp.where("component_id is null").select("root").distinct(), "nameless-components")
+    odd = gone.where("odd").select(mine)
+    if nameless.isEmpty() and odd.isEmpty():
         return plain
+    odd = odd.unionByName(nameless.limit(1).select(F.lit(None).cast("long").alias(mine)))
     fp, root, first, known_fp, known_id = (fresh_name(docs.columns, x) for x in ("row_fp", "row_root", "row_number", "known_fp", "known_id"))
     to_fp = F.pandas_udf(lambda texts: texts.map(lambda x: fingerprint(None if x is None else x.encode(), shingle)).astype("int64"), "long")
-    again = docs.join(odd, row_id.eqNullSafe(F.col(mine)), "left_semi").withColumn(fp, to_fp(F.col(text_col)))
+    again = docs.join(if_few(written(odd, "odd-ids")), row_id.eqNullSafe(F.col(mine)), "left_semi").withColumn(fp, to_fp(F.col(text_col)))
     known = by_fp.select(F.col("of_fp").alias(known_fp), F.col("root").alias(root), F.col("component_id").alias(known_id))
     again = again.join(known, F.col(fp) == F.col(known_fp)).where(row_id.eqNullSafe(F.col(known_id)))
     again = again.withColumn(first, F.row_number().over(Window.partitionBy(root).orderBy(fp))).where(F.col(first) == 1)
