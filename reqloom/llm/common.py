@@ -8,8 +8,10 @@ notebook) gets a temporary folder of its own.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -88,8 +90,11 @@ def if_few(df: DataFrame) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs (it follows the JVM's collector)."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of finished jobs: it follows the collectors, and works beside the driver."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def slices(batch: pa.RecordBatch, text_at: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqloom.llm.common import crc_mod, delete_path, free_shuffles, ship, table, written_at
@@ -36,13 +36,13 @@ MIN_COUNT = 2
 TOP_WORDS, TOP_PAIRS = 1 << 20, 1 << 21
 #: Tokens counted together before their counts are handed on, and texts scored together.
 BLOCK_TOKENS, BLOCK_TEXTS = 1 << 22, 1000
-#: Words a worker remembers at most.
-REMEMBERED = 400_000
+#: Words a worker remembers at most, rows of counts that are merged at a time, and stored documents to a partition of counts.
+REMEMBERED, MERGE_ROWS, PARTITION_BYTES = 400_000, 1 << 21, 8 << 20
 #: Shares into which a history's counts are dealt, so that no task has all of a frequent word's; and those of all words and of beginnings.
 SHARES, MOST_SHARES = 16, 1024
 
 #: Hashes that no word has but by a chance of 2**-64: marks, not words.
-END, BEGIN, UNIGRAM = 1, 2, 3
+END, BEGIN, UNIGRAM, TALLY = 1, 2, 3, 4
 
 
 class Vocabulary(dict):
@@ -122,25 +122,50 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums n over equal (h, w); rows come sorted, and a pair may go on in the next batch."""
-    rest = [np.zeros(0, np.int64)] * 3
+def _merged(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, w, n) of blocks, sorted, n summed over equal (h, w)."""
+    h, w, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    order = np.lexsort((w, h))
+    h, w, n = h[order], w[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+    return h[new], w[new], np.add.reduceat(n, new)
 
-    def runs(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-        return pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(w[new]), pa.array(np.add.reduceat(n, new))], ["h", "w", "c"])
 
+def _summed(batches: Iterator[pa.RecordBatch], min_count: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(h, w, c): n summed over equal (h, w), of words all, of pairs those of ``min_count`` or more.
+
+    Blocks are merged as they come, so a task holds its distinct pairs, of which
+    the number of partitions makes a bounded share. Last come rows with TALLY
+    for h: how many pairs (c) have the count w, up to k + 1.
+    """
+    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = whole = 0
     for batch in batches:
-        h, w, n = (np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True))
-        if not len(h):
-            continue
-        last = np.flatnonzero((h != h[-1]) | (w != w[-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield runs(h[:cut], w[:cut], n[:cut])
-        rest = [h[cut:], w[cut:], n[cut:]]
-    if len(rest[0]):
-        yield runs(*rest)
+        if batch.num_rows:
+            blocks.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            rows += batch.num_rows
+            if rows > max(MERGE_ROWS, 2 * whole):
+                blocks = [_merged(blocks)]
+                rows = whole = len(blocks[0][0])
+    if not blocks:
+        return
+    h, w, c = _merged(blocks)
+    pair = h != UNIGRAM
+    few = np.bincount(c[pair & (c <= k + 1)], minlength=k + 2)
+    kept = np.flatnonzero(~pair | (c >= min_count))
+    for at in range(0, len(kept), MERGE_ROWS // 4):
+        rows_now = kept[at : at + MERGE_ROWS // 4]
+        yield pa.RecordBatch.from_arrays([pa.array(h[rows_now]), pa.array(w[rows_now]), pa.array(c[rows_now])], ["h", "w", "c"])
+    counts = np.flatnonzero(few)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), TALLY)), pa.array(counts), pa.array(few[counts])], ["h", "w", "c"])
+
+
+def _partitions(docs: DataFrame) -> int:
+    """Shuffle partitions such that one has the pairs of about PARTITION_BYTES of the stored tables below ``docs``."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    known = sum(x for x in sizes if x < 1 << 60)  # what isn't stored says a size near 2**63
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // PARTITION_BYTES + 1)
 
 
 def discounts(counts: dict[int, int], k: int = K) -> dict[int, float]:
@@ -164,7 +189,7 @@ def _discounted(count: str, d: dict[int, float]):
 
 
 class Model:
-    """Tables (w, c, known, base, score) of words and (key, h, w, c, score) of kept bigrams, and the constants.
+    """Tables (w, c, known, base, score) of words and (key, c, score) of kept bigrams, and the constants.
 
     ``unknown`` and ``base_unknown``: an unseen word's log10 scores. A table's
     ``base`` and ``score`` are what its key adds to those.
@@ -180,17 +205,15 @@ def train(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT, k
     spark = docs.sparkSession
     ship(spark)
     raw = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted, "h long, w long, n long")
-    # blocks have each pair once, so summing again before the shuffle would gain little; their order compresses well
+    # blocks have each pair once, so summing again before the shuffle would gain little; their order compresses well in it
     shares = F.when(F.col("h").isin(UNIGRAM, BEGIN), MOST_SHARES).otherwise(SHARES)
-    dealt = raw.repartition("h", F.pmod("w", shares)).sortWithinPartitions("h", "w")
-    counts = dealt.mapInArrow(_summed, "h long, w long, c long")
-    seen = Observation(f"bigrams-{id(docs)}")
-    is_word = F.col("h") == UNIGRAM
-    tally = [F.coalesce(F.sum(((F.col("c") == r) & ~is_word).cast("long")), F.lit(0)).alias(f"n{r}") for r in range(1, k + 2)]
-    counted = counts.observe(seen, *tally).where(is_word | (F.col("c") >= min_count)).withColumn("ngram", F.when(is_word, 1).otherwise(2))
-    kept, kept_path = written_at(counted, "ngrams", ["ngram"])
+    dealt = raw.repartition(_partitions(docs), "h", F.pmod("w", shares))
+    counts = dealt.mapInArrow(lambda b: _summed(b, min_count, k), "h long, w long, c long")
+    marked = counts.withColumn("ngram", F.when(F.col("h") == TALLY, 0).when(F.col("h") == UNIGRAM, 1).otherwise(2))
+    kept, kept_path = written_at(marked, "ngrams", ["ngram"])
     free_shuffles(spark)
-    d2 = discounts({r: seen.get[f"n{r}"] for r in range(1, k + 2)}, k)
+    tally = kept.where("ngram = 0").groupBy("w").agg(F.sum("c").alias("n")).collect()  # k + 1 rows
+    d2 = discounts({r["w"]: r["n"] for r in tally}, k)
 
     words = kept.where("ngram = 1").select("w", "c")
     facts = words.agg(F.sum("c").alias("N"), F.count("*").alias("V"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, k + 2)), F.max(F.when(F.col("w") == END, F.col("c"))).alias("texts")).first()
@@ -208,15 +231,16 @@ def train(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT, k
     total = words.select(F.col("w").alias("h"), F.col("c").alias("ch")).where(F.col("h") != END)
     total = total.unionByName(spark.createDataFrame([(BEGIN, int(facts["texts"] or 0))], "h long, ch long"))
     room = F.col("ch") - F.col("taken")
-    # where nothing is left (all counts above k), one more count is; where kept followers have all lower mass, they get all
+    # where nothing is left (all counts above k), one more count is
     weighed = left.join(total, "h").withColumn("den", F.when(room > 1e-9 * F.col("ch"), F.col("ch").cast("double")).otherwise(F.col("ch") + 1.0))
     weighed = weighed.withColumn("alpha", (1 - F.col("taken") / F.col("den")) / (1 - F.col("below")))
     weighed, weighed_path = written_at(weighed.select("h", "den", "alpha"), "histories")
+    free_shuffles(spark)
     begin = weighed.where(F.col("h") == BEGIN).select("alpha").first()
 
     p = _discounted("c", d2) / F.col("den")
     gain = F.log10(p) - F.log10("alpha") - F.log10("p")
-    scores = priced.join(weighed, "h").select("h", "w", "c", gain.alias("score")).mapInArrow(_keyed, "key long, h long, w long, c long, score double")
+    scores = priced.join(weighed, "h").select("h", "w", "c", gain.alias("score")).mapInArrow(_keyed, "key long, c long, score double")
     bigrams, _ = written_at(scores, "bigram-scores")
     base_unknown = float(-np.log10(tokens + types + 1))
     unknown = float(np.log10(p_unknown)) if tokens else base_unknown
@@ -234,7 +258,7 @@ def train(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT, k
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "w"))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w)), *batch.columns], ["key", *batch.schema.names])
+        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w)), batch.column("c"), batch.column("score")], ["key", "c", "score"])
 
 
 def _threshold(counted: DataFrame, most: int) -> int:
