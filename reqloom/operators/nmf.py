@@ -67,8 +67,8 @@ def improve_topics(h: np.ndarray, wx: np.ndarray, ww: np.ndarray, sweeps: int =
     return h
 
 
-def begin_topics(sketch: np.ndarray, small: np.ndarray, mean: float, k: int) -> np.ndarray:
-    """NNDSVDa's H from a row-space basis (``small``: B = Q'X) of a randomised SVD."""
+def begin_topics(small: np.ndarray, mean: float, k: int) -> np.ndarray:
+    """NNDSVDa's H from a randomised SVD's small matrix B = Q'X."""
     _, s, vt = np.linalg.svd(small, full_matrices=False)
     h = np.zeros((k, small.shape[1]))
     for j in range(min(k, len(s))):
@@ -90,7 +90,7 @@ def fit_local(x: Sparse, k: int, seed: int = 42, rounds: int = 300, tol: float =
     square = float((x.values**2).sum())
     q, _ = np.linalg.qr(x.times(rng.normal(size=(x.width, k + 8))))
     q, _ = np.linalg.qr(x.times(x.transposed_times(q)))
-    h = begin_topics(q, x.transposed_times(q).T, x.values.sum() / max(1, len(x.sizes) * x.width), k)
+    h = begin_topics(x.transposed_times(q).T, x.values.sum() / max(1, len(x.sizes) * x.width), k)
     losses: list[float] = []
     for _ in range(rounds):
         w = solve_weights(x, h)
@@ -117,7 +117,7 @@ def _sparse(batch: pa.RecordBatch, width: int) -> Sparse:
     return Sparse(columns, [np.array(x, float) for x in batch.column("val").to_pylist()], width)
 
 
-def _summed(rows: DataFrame, width: int, shape: tuple[int, int], partial) -> list[np.ndarray]:
+def _summed(rows: DataFrame, width: int, partial) -> list[np.ndarray]:
     """The sums over all rows of what ``partial(sparse)`` returns, added in partition order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,19 +154,19 @@ def fit_spread(rows: DataFrame, width: int, k: int, seed: int = 42, rounds: int
     rng = np.random.default_rng(seed)
     omega = rng.normal(size=(width, k + 8))
     # a row-space basis by two passes: Y'X for Y = X omega, orthonormalised on the driver
-    first = _summed(rows, width, (0, 0), lambda x: [x.transposed_times(x.times(omega)).ravel(), np.array([x.values.sum(), (x.values**2).sum(), float(len(x.sizes))])])
+    first = _summed(rows, width, lambda x: [x.transposed_times(x.times(omega)).ravel(), np.array([x.values.sum(), (x.values**2).sum(), float(len(x.sizes))])])
     if not first:
         return np.zeros((k, width)), []
     total, square, n = first[1]
     basis, _ = np.linalg.qr(first[0].reshape(width, k + 8))
-    gram = _summed(rows, width, (0, 0), lambda x: [(lambda y: y.T @ y)(x.times(basis)).ravel()])[0].reshape(basis.shape[1], basis.shape[1])
+    gram = _summed(rows, width, lambda x: [(lambda y: y.T @ y)(x.times(basis)).ravel()])[0].reshape(basis.shape[1], basis.shape[1])
     values, vectors = np.linalg.eigh(gram)
     order = np.argsort(-values)
     small = (np.sqrt(np.maximum(values[order], 0))[:, None] * vectors[:, order].T) @ basis.T
-    h = begin_topics(basis, small, total / max(1.0, n * width), k)
+    h = begin_topics(small, total / max(1.0, n * width), k)
     losses: list[float] = []
     for _ in range(rounds):
-        sums = _summed(rows, width, (k, width), lambda x, h=h: (lambda w: [x.transposed_times(w).T.ravel(), (w.T @ w).ravel()])(solve_weights(x, h)))
+        sums = _summed(rows, width, lambda x, h=h: (lambda w: [x.transposed_times(w).T.ravel(), (w.T @ w).ravel()])(solve_weights(x, h)))
         wx, ww = sums[0].reshape(k, width), sums[1].reshape(k, k)
         after = improve_topics(h, wx, ww)
         now = loss(square, wx, ww, after)
