@@ -40,7 +40,7 @@ GROUP = 4096
 #: Underfull sequences that give to others in a round of the local search, and documents of a sequence that are paired.
 DONORS, PAIRED = 12, 32
 #: Pre-tokens a worker remembers at most, the longest it remembers, and bytes of text it works on at a time.
-REMEMBERED, LONGEST, SLICE_BYTES = 800_000, 64, 4 << 20
+REMEMBERED, LONGEST, SLICE_BYTES = 600_000, 64, 4 << 20
 
 #: Unknown pre-tokens that are encoded in one call.
 JOINED = 256
