@@ -19,7 +19,7 @@ the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from reqloom.llm.common import fresh_name, if_few, ship, table, written
 from reqloom.llm.components import components
+from reqloom.llm.shingle_sets import digest, set_links, shingle_set, shingle_sets
 
 RADIUS = 3
 BLOCKS = 4
@@ -241,11 +242,18 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
 def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Each row's (doc_id, fp), and for each fingerprint its (of_fp, root, component_id)."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "fingerprint-nodes")
-    found = components(links(nodes, radius))
+    nodes = _nodes(fps)
+    return fps, _placed(nodes, components(links(nodes, radius)))
+
+
+def _nodes(fps: DataFrame) -> DataFrame:
+    return written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "fingerprint-nodes")
+
+
+def _placed(nodes: DataFrame, found: DataFrame) -> DataFrame:
     member = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_doc")
     least = member.groupBy(F.col("root").alias("of_root")).agg(F.min("least_doc").alias("component_id"))
-    return fps, member.join(least, member["root"] == least["of_root"]).select(F.col("fp").alias("of_fp"), "root", "component_id")
+    return member.join(least, member["root"] == least["of_root"]).select(F.col("fp").alias("of_fp"), "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -269,7 +277,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     those in the component stays, once. A component without any id keeps one
     row. Null texts form a component as any other equal texts do.
     """
-    fps, by_fp = _classes(docs, id_col, text_col, radius, shingle)
+    return _one_of_each(docs, id_col, text_col, *_classes(docs, id_col, text_col, radius, shingle), lambda x: fingerprint(x, shingle))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """As :func:`drop_near_duplicates`, of components over pairs whose shingle sets have a Jaccard similarity of ``least`` or more."""
+    sets = written(shingle_sets(docs, id_col, text_col, shingle), "shingle-sets")
+    by_fp = _placed(_nodes(sets), components(set_links(sets, least)))
+    return _one_of_each(docs, id_col, text_col, sets, by_fp, lambda x: digest(shingle_set(x, shingle)))
+
+
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str, fps: DataFrame, by_fp: DataFrame, to_key: Callable[[bytes | None], int]) -> DataFrame:
     fps, by_fp = fps.select("doc_id", "fp"), written(by_fp, "fingerprint-classes")
     placed = fps.join(by_fp, fps["fp"] == by_fp["of_fp"])
     mine = fresh_name(docs.columns, "of_id")
@@ -284,7 +302,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return plain
     odd = odd.unionByName(nameless.limit(1).select(F.lit(None).cast("long").alias(mine)))
     fp, root, first, known_fp, known_id = (fresh_name(docs.columns, x) for x in ("row_fp", "row_root", "row_number", "known_fp", "known_id"))
-    to_fp = F.pandas_udf(lambda texts: texts.map(lambda x: fingerprint(None if x is None else x.encode(), shingle)).astype("int64"), "long")
+    to_fp = F.pandas_udf(lambda texts: texts.map(lambda x: to_key(None if x is None else x.encode())).astype("int64"), "long")
     again = docs.join(if_few(written(odd, "odd-ids")), row_id.eqNullSafe(F.col(mine)), "left_semi").withColumn(fp, to_fp(F.col(text_col)))
     known = by_fp.select(F.col("of_fp").alias(known_fp), F.col("root").alias(root), F.col("component_id").alias(known_id))
     again = again.join(known, F.col(fp) == F.col(known_fp)).where(row_id.eqNullSafe(F.col(known_id)))

@@ -129,3 +129,42 @@ def test_components(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def slow_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def slow_similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_similar_texts_drop_at_any_hamming_distance(spark):
+    """Copies with some words changed, of which most are beyond 3 of 64 bits; a hub of near copies and a common line."""
+    rng = random.Random(3)
+    line = "all of these texts have this very line in common"
+    texts = []
+    for k in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([5, 30, 120, 400]))] + line.split()
+        for _ in range(60 if k == 0 else 3):
+            copy = list(words)
+            for _ in range(rng.randint(0, len(copy) // 40)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    sets = {i: slow_set(t) for i, t in rows}
+    root = slow_components(set(sets), lambda a, b: slow_similar(sets[a], sets[b]))
+    kept = simhash.drop_similar(table_of(spark, rows, False).repartition(3)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
+    assert len(kept) < simhash.drop_near_duplicates(table_of(spark, rows, False)).count()
+
+
+def test_similar_keeps_one_of_each_messy(messy, messy_rows, nothing):
+    sets = [slow_set(t) for _, t in messy_rows]
+    root = slow_components(set(range(len(sets))), lambda a, b: slow_similar(sets[a], sets[b]))
+    kept = simhash.drop_similar(messy)
+    assert kept.columns == messy.columns
+    of = {s: root[i] for i, s in enumerate(sets)}
+    assert sorted(of[slow_set(r.text)] for r in kept.collect()) == sorted(set(root.values()))
+    assert simhash.drop_similar(nothing).count() == 0
