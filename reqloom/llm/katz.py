@@ -8,8 +8,9 @@ A bigram model over words of whitespace-cut text and an end token:
            = P(unknown)               otherwise, one class that all unseen words share
 
 with Good-Turing discounts d for counts up to ``K`` (Katz 1987), and alpha(h)
-such that the probabilities after h sum to one exactly. As in Katz's paper,
-bigrams seen once count as unseen (``min_count``); counts of counts have them.
+such that the probabilities after h sum to one exactly. All counted bigrams are
+kept; with a ``min_count`` above 1, rarer ones count as unseen, but counts of
+counts have them.
 
 Scores are sums, so each token's recursion becomes lookups whose values add up:
 an unknown word's score, what a known word and its weight as a history add to
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from reqloom.llm.common import crc_mod, delete_path, free_shuffles, ship, table, written_at
 
 K = 7
-MIN_COUNT = 2
+MIN_COUNT = 1
 #: Keys of each order, at most, that go to every task.
 TOP_WORDS, TOP_PAIRS = 1 << 20, 1 << 21
 #: Tokens counted together before their counts are handed on, and texts scored together.

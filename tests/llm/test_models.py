@@ -128,6 +128,11 @@ def test_katz(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
 
 
+def test_katz_keeps_bigrams_seen_once(spark):
+    docs = table_of(spark, [(1, "a b c"), (2, "a b d"), (3, "e")], False)
+    assert sorted(r.c for r in katz.train(docs).bigrams.collect()) == [1, 1, 1, 1, 1, 1, 2, 2]
+
+
 def test_katz_edges(messy, nothing):
     out = katz.language_model_scores(messy).collect()
     assert len(out) == messy.count() and all(r.score < 0 and math.isfinite(r.score) for r in out)
