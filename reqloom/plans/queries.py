@@ -311,7 +311,7 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def global_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned, _, _ = topics.global_topics(adapt.usable(spark, sf_dir).persist(), k=10, min_df=5, rounds=60)
+    assigned, _, _ = topics.global_topics(adapt.usable(spark, sf_dir).persist())
     return assigned.select("sent_id", "topic_id", "topic_weight", "weights")
 
 
@@ -322,13 +322,13 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def nmf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _assigned(spark, sf_dir)
-    return topics.score_grid(rows, topics.local_grid(rows, (2, 3, 4), rounds=20).persist())
+    return topics.score_grid(rows, topics.local_grid(rows).persist())
 
 
 @query()
 def local_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _assigned(spark, sf_dir)
-    fitted = topics.local_grid(rows, (2, 3), rounds=20).persist()
+    fitted = topics.local_grid(rows).persist()
     scores = topics.score_grid(rows, fitted)
     best = scores.groupBy("global_topic_id").agg(F.max_by("k", F.struct("npmi", "diversity", -F.col("k"))).alias("k"))
     return topics.local_topics(rows, fitted, best)

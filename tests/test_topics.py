@@ -61,3 +61,21 @@ def test_coherence(spark):
     assert value[0] > 0.99 and value[1] < -0.85
     deep = topics.c_v(counts, n, {0: ["a", "b"], 1: ["c", "d"]})
     assert deep[0] > deep[1]
+
+
+def test_queries_fit_with_the_operators_defaults(spark, tables, monkeypatch):
+    from reqloom.plans import queries
+
+    for name, operator in (("nmf_grid", "local_grid"), ("local_nmf", "local_grid"), ("global_nmf", "global_topics")):
+        seen = []
+
+        def stop(rows, *args, seen=seen, **settings):
+            seen.append((args, settings))
+            raise InterruptedError
+
+        monkeypatch.setattr(queries.topics, operator, stop)
+        try:
+            getattr(queries, name)(spark, tables)
+        except InterruptedError:
+            pass
+        assert seen == [((), {})]
