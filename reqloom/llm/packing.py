@@ -37,6 +37,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Documents in a group, which one task packs.
 GROUP = 4096
+#: Rounds of dealing and packing at most; the last one closes all its sequences.
+ROUNDS = 40
 #: Underfull sequences that give to others in a round of the local search, and documents of a sequence that are paired.
 DONORS, PAIRED = 12, 32
 #: Pre-tokens a worker remembers at most, the longest it remembers, and bytes of text it works on at a time.
@@ -270,12 +272,12 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
     whole = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     out = whole.select(*columns, "sequence_id", "offset")
     pool, pool_path, left = pieces.where(F.col("length") < capacity), None, None
-    for round_no in range(40):
+    for round_no in range(ROUNDS):
         n = pool.count()
         if not n:
             break
         groups = -(-n // group)
-        last = groups == 1 or (left is not None and n > 0.9 * left)
+        last = groups == 1 or round_no == ROUNDS - 1 or (left is not None and n > 0.9 * left)
         left = n
         dealt = pool.select(*columns, F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(groups)).alias("grp"))
         made, made_path = written_at(dealt.groupBy("grp").applyInPandas(lambda g: _pack_group(g, capacity), _PACKED), "packed")

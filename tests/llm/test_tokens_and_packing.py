@@ -94,3 +94,9 @@ def test_local_search_raises_squares():
         assert square(after) >= square(before) and len(after) <= len(before)
     spread = [[0, 1], [2, 3], [4]]  # an exchange is needed: 60+20, 50+30, 40 -> two full bins of 100
     assert len(packing.local_search(spread, [60, 20, 50, 30, 40], 100)) == 2
+
+
+def test_last_round_closes_what_is_left(spark, messy, messy_rows, monkeypatch):
+    monkeypatch.setattr(packing, "ROUNDS", 1)
+    found = packing.packed(messy, capacity=64, group=4).collect()
+    assert collections.Counter(tuple(r)[:5] for r in found) == collections.Counter(pieces_of(messy_rows, 64))
