@@ -62,7 +62,10 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, n_words, n_hit, n_items, items), one row for each row of ``docs``; ``items`` sorted as strings."""
+    """(doc_id, text_hash, n_words, n_hit, longest, n_items, items), one row for each row of ``docs``.
+
+    ``longest``: words of the longest window that occurs, else 0. ``items`` are sorted as strings.
+    """
     windows = written(item_windows(benchmark, item_col, item_text, window), "windows")
     width = F.least(F.lit(shingle), F.col("length"))
     placed = windows.select("window_id", "length", "words", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("length") - width), lambda i: F.array_join(F.slice("words", i + 1, width), " "))).alias("at", "shingle"))
@@ -111,12 +114,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     end = F.col("start") + F.col("length")
     before = Window.partitionBy("row").orderBy("start", "length", "window_id").rowsBetween(Window.unboundedPreceding, -1)
     reach = held.select("row", "start", end.alias("stop"), F.coalesce(F.max(end).over(before), F.lit(0)).alias("reached"))
-    hits = reach.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "reached"))).cast("long").alias("n_hit"))
+    hits = reach.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "reached"))).cast("long").alias("n_hit"), F.max(F.col("stop") - F.col("start")).alias("longest"))
     named = held.select("row", "window_id").distinct().join(_few(windows.select("window_id", "items"), n_placed), "window_id").select("row", F.explode("items").alias("item"))
     items = named.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     out = texts.join(hits, "row", "left").join(items, "row", "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "text_hash", F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
+    return out.select("doc_id", "text_hash", F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("longest", F.lit(0)).alias("longest"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
 
 
 CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
@@ -128,18 +131,29 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     ``n_hit`` words of a document lie inside an occurrence of some item's
     window. Null texts have no words; such documents have no hit and such items
     no window. Repeated rows give repeated rows, repeated items count once, items
-    with a null id hit but aren't listed. Empty tables on either side give no
-    rows or no hits. Other columns aren't read.
+    with a null id hit but aren't listed. Very long texts are read whole; of
+    windows equally rare the shingle's order decides, which bears on the work
+    alone. Empty tables on either side give no rows or no hits. Other columns
+    aren't read.
     """
     found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated; columns stay as they are."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated; columns stay as they are.
+
+    A text goes if a whole window of ``window`` words occurs in it, whatever its
+    share of the text, and if items shorter than a window make up the share of
+    words that :func:`decontamination` calls contaminated. Null and empty texts
+    stay. Rows repeated whole stay or go together, of an id with several texts
+    each text for itself; null ids are judged as any other. Very long texts are
+    read whole. Empty tables on either side let all rows stay.
+    """
     bad_id, bad_hash = (fresh_name(docs.columns, x) for x in ("bad_id", "bad_hash"))
-    found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text)
-    bad = written(found.where(CONTAMINATED).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct(), "contaminated")
+    found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text, window)
+    bad = found.where((F.col("longest") >= window) | F.expr(CONTAMINATED))
+    bad = written(bad.select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct(), "contaminated")
     same = docs[id_col].cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs[text_col]) == F.col(bad_hash))
     return docs.join(if_few(bad), same, "left_anti")
 

@@ -2,8 +2,9 @@ import collections
 
 import corpus_pipeline
 from llm_rows import TEXTS, table_of
-from test_decontaminate import expected as contaminated
-from test_simhash import slow_components, slow_fingerprint
+from test_decontaminate import expected as overlapping
+from test_decontaminate import has_whole_window, whole_windows, words
+from test_simhash import slow_components, slow_set, slow_similar
 from test_tokens_and_packing import pieces_of
 
 import __spark_entry__
@@ -19,15 +20,18 @@ def brute_force(spark, tables):
     for i, t in rows:
         last[t or ""] = max(i, last.get(t or "", i))
     rows = [(i, t) for i, t in rows if last[t or ""] == i]
-    fps = {i: slow_fingerprint(t) for i, t in rows}
-    root = slow_components(set(fps.values()), lambda a, b: (a ^ b).bit_count() <= 3)
+    sets = [slow_set(t) for _, t in rows]
+    root = slow_components(range(len(rows)), lambda a, b: slow_similar(sets[a], sets[b]))
     least = {}
-    for i, f in fps.items():
-        least[root[f]] = min(i, least.get(root[f], i))
-    rows = [(i, t) for i, t in rows if least[root[fps[i]]] == i]
+    for k, (i, _) in enumerate(rows):
+        least[root[k]] = min(i, least.get(root[k], i))
+    rows = [(i, t) for k, (i, t) in enumerate(rows) if least[root[k]] == i]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
-    bad = {x[0] for x in contaminated(rows, items) if x[-1]}
-    return [(i, t) for i, t in rows if i not in bad]
+    whole = whole_windows(items)
+    rows = [(i, t) for i, t in rows if not has_whole_window(t, whole)]
+    short = [(i, t) for i, t in items if len(words(t)) < 13]
+    share = {x[0] for x in overlapping(rows, short) if x[-1]}
+    return [(i, t) for i, t in rows if i not in share]
 
 
 def test_run(spark, tables):
