@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from reqloom.llm.common import fresh_name, if_few, ship, table, written
 from reqloom.llm.components import components
-from reqloom.llm.shingle_sets import digest, set_links, shingle_set, shingle_sets
+from reqloom.llm.shingle_sets import digest, keyed_texts, set_links, shingle_set
 
 RADIUS = 3
 BLOCKS = 4
@@ -282,9 +282,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
     """As :func:`drop_near_duplicates`, of components over pairs whose shingle sets have a Jaccard similarity of ``least`` or more."""
-    sets = written(shingle_sets(docs, id_col, text_col, shingle), "shingle-sets")
-    by_fp = _placed(_nodes(sets), components(set_links(sets, least)))
-    return _one_of_each(docs, id_col, text_col, sets, by_fp, lambda x: digest(shingle_set(x, shingle)))
+    keyed = keyed_texts(docs, id_col, text_col, shingle, least)
+    by_fp = _placed(_nodes(keyed), components(set_links(docs, keyed, id_col, text_col, shingle, least)))
+    return _one_of_each(docs, id_col, text_col, keyed, by_fp, lambda x: digest(shingle_set(x, shingle)))
 
 
 def _one_of_each(docs: DataFrame, id_col: str, text_col: str, fps: DataFrame, by_fp: DataFrame, to_key: Callable[[bytes | None], int]) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from reqloom.llm import simhash
+from reqloom.llm import shingle_sets, simhash
 from reqloom.llm.components import components
 from llm_rows import table_of
 
@@ -168,3 +168,13 @@ def test_similar_keeps_one_of_each_messy(messy, messy_rows, nothing):
     of = {s: root[i] for i, s in enumerate(sets)}
     assert sorted(of[slow_set(r.text)] for r in kept.collect()) == sorted(set(root.values()))
     assert simhash.drop_similar(nothing).count() == 0
+
+
+def test_parities_never_say_more_than_sets_differ():
+    rng = np.random.default_rng(5)
+    for n, m, shared in [(1, 1, 0), (1, 1, 1), (64, 65, 50), (300, 500, 250), (1000, 1030, 900), (5, 700, 3)]:
+        every = rng.integers(-(1 << 63), (1 << 63) - 1, n + m - shared)
+        a, b = every[:n], every[n - shared :]
+        assert len(b) == m
+        assert shingle_sets.differing(shingle_sets.parities(a), shingle_sets.parities(b)) <= n + m - 2 * shared
+    assert shingle_sets.differing(shingle_sets.parities(a), shingle_sets.parities(a)) == 0
