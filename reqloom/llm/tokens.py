@@ -1,39 +1,53 @@
-"""Exact token counts, with overlap resynchronisation for huge documents.
-
-A document of more than ``huge`` characters is encoded in overlapping chunks
-with offsets. Two neighbours are spliced at an offset inside their overlap where
-both begin a token and where no pre-token can reach across: a single space
-between two other non-space characters. Byte-level pre-tokens, and pieces of a
-vocabulary that splits at white space, begin at such a space whatever stands
-further left or right, so the splice is proven, not guessed. Where an overlap
-has no such place it is widened, up to the whole of what isn't counted yet.
-
-Shorter documents are cut at the same kind of places, and each distinct cut is
-encoded once and remembered; the counts add up to the whole text's.
+"""Exact token counts by overlap resynchronisation.
+
+A document of more than ``chunk`` characters is encoded in overlapping chunks
+with offsets; a shorter one is a single chunk. Two neighbours are spliced at an
+offset inside their overlap that is proven to be a token boundary of the whole
+text; the left one counts up to there, the right one from there.
+
+For a byte-level vocabulary two proofs are used. Between a character and a next
+one of another class (white space, letters, digits, anything else) a pre-token
+ends whatever stands further left or right, but for the blank before a word and
+an apostrophe before letters. Inside a pre-token, where a long run of one class
+has no such place, a token that both chunks have at the same characters is
+proof: byte-pair merges give a sequence exactly if each two neighbours in it are
+what they would be by themselves (no merge crosses a border between them), and
+with a shared token at the seam each two neighbours occur in one of the chunks.
+
+Other vocabularies are spliced at a single blank between two words, where both
+begin a token and no piece can reach across. Where an overlap has no proven
+place it is widened, up to the whole of what isn't counted yet.
 """
 
 from __future__ import annotations
 
+import bisect
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqloom.llm.common import ship, table
+from reqloom.llm.common import ship, slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-HUGE = 1 << 16
-CHUNK = 1 << 15
-OVERLAP = 256
-#: Texts a worker remembers at most, and the longest it remembers.
-REMEMBERED, LONGEST = 400_000, 96
+CHUNK = 1 << 13
+OVERLAP = 160
+#: Characters at either end of an overlap that no splice touches: a special string cut there is shorter.
+MARGIN = 32
+#: Texts, and characters of them, that are encoded in one call.
+TOGETHER, TOGETHER_CHARS = 1000, 1 << 20
 
 _stable = re.compile(r"(?<=\S) (?=\S)")
+# The classes of a byte-level pre-token; a place between two classes is a border, but not blank to word nor apostrophe to letter.
+_border = regex.compile(r"(?<=[^\s])(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
 _open: dict[str, object] = {}
+_byte_level: dict[str, bool] = {}
 
 
 def _library(path: str):
@@ -63,12 +77,41 @@ def vocabulary_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-def _starts(path: str, text: str) -> list[int]:
-    """The offset in ``text`` at which each token begins."""
+def _is_byte_level(path: str) -> bool:
+    """Whether the vocabulary is byte-pair merges over bytes, by the usual pre-tokens and without a normaliser."""
+    if path not in _byte_level:
+        known = None
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as file:
+                known = json.load(file)
+        _byte_level[path] = (
+            known is not None and known["normalizer"] is None and known["model"]["type"] == "BPE" and not known["model"].get("dropout") and not known["model"].get("ignore_merges")
+            and (known["pre_tokenizer"] or {}).get("type") == "ByteLevel" and known["pre_tokenizer"].get("use_regex", True)
+        )
+    return _byte_level[path]
+
+
+def _added(path: str) -> frozenset[int]:
+    """Added tokens whose places don't hang on what stands around them: they don't overlap themselves nor take blanks along."""
+    if not _is_byte_level(path):
+        return frozenset()
+    plain = lambda t: len(t.content) <= MARGIN and not (t.lstrip or t.rstrip or t.single_word or t.normalized) and not any(t.content.endswith(t.content[:n]) for n in range(1, len(t.content)))
+    return frozenset(i for i, t in _library(path).get_added_tokens_decoder().items() if plain(t))
+
+
+#: A chunk's tokens: (ids, offsets at which they begin, offsets at which they end); ids and ends are None where they aren't used.
+Tokens = tuple[list[int] | None, list[int], list[int] | None]
+
+
+def encoded(path: str, text: str) -> Tokens:
     library = _library(path)
     if path.endswith(".model"):
-        return [piece.begin for piece in library.encode(text, return_type="proto").pieces]
-    return [at for at, _ in library.encode(text, add_special_tokens=False).offsets]
+        return None, [piece.begin for piece in library.encode(text, return_type="proto").pieces], None
+    found = library.encode(text, add_special_tokens=False)
+    offsets = found.offsets
+    if not _is_byte_level(path):
+        return None, [at for at, _ in offsets], None
+    return found.ids, [at for at, _ in offsets], [end for _, end in offsets]
 
 
 def count_plain(path: str, texts: list[str]) -> list[int]:
@@ -78,90 +121,105 @@ def count_plain(path: str, texts: list[str]) -> list[int]:
     return [len(x.ids) for x in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def count_resynchronised(text: str, starts: Callable[[str], list[int]], chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of ``text``, never encoding much more than ``chunk`` characters at a time.
+def _shared(left: Tokens, right: Tokens, offset: int, text: str, begin: int, end: int, special: frozenset[int]) -> int:
+    """The last place within (begin, end) before which both chunks have the same token, or -1.
 
-    ``starts`` gives the offsets at which a text's tokens begin.
+    The token is an added one, or lies inside a run of one class. ``offset``:
+    where the right chunk begins in the left one's offsets. A token ends between
+    two characters only if the next one begins there: bytes of one character may
+    be several tokens'.
+    """
+    ids, starts, ends = left
+    r_ids, r_starts, r_ends = right
+    k = bisect.bisect_left(starts, end) - 1
+    while k >= 0 and starts[k] > begin:
+        place = ends[k]
+        if place < end and (k + 1 == len(starts) or starts[k + 1] >= place):
+            j = bisect.bisect_left(r_starts, place - offset) - 1
+            if j >= 0 and r_ids[j] == ids[k] and r_ends[j] == place - offset and (ids[k] in special or not _border.search(text, starts[k] - 1, place + 1)):
+                return place
+        k -= 1
+    return -1
+
+
+def count_resynchronised(text: str, encode: Callable[[str], Tokens], byte_level: bool, special: frozenset[int] = frozenset(), chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> int:
+    """Tokens of ``text``, encoding little more than ``chunk`` characters at a time.
+
+    ``encode`` gives the tokens of a text, ``special`` are added ones. An overlap without a proven place is
+    doubled, so a text without any is encoded again and again in part, never cut
+    at a guess.
     """
     total, done, end = 0, 0, min(chunk, len(text))
-    left = starts(text[:end])
+    left, base = encode(text[:end]), 0  # the left chunk's tokens from ``base`` on
     while end < len(text):
         width = overlap
         after = min(end + chunk, len(text))
         while True:
             begin = max(done, end - width)
-            right = [begin + x for x in starts(text[begin:after])]
+            right = encode(text[begin:after])
             if begin == done:  # nothing is cut off on the left: the new chunk has all that isn't counted
                 splice = done
                 break
-            both = set(right).intersection(left)
-            places = [m.start() for m in _stable.finditer(text, begin + 1, end - 1)]
-            splice = next((p for p in reversed(places) if p in both), -1)
+            low, high = begin + margin, end - margin
+            places = (m.start() for m in (_border if byte_level else _stable).finditer(text, low, high))
+            proven = [p for p in places if low < p < high and _begins(left, p - base) and _begins(right, p - begin)]
+            splice = proven[-1] if proven else -1
+            if splice < 0 and byte_level and (place := _shared(left, right, begin - base, text[base:after], low - base, high - base, special)) >= 0:
+                splice = base + place
             if splice >= 0:
                 break
             width *= 2
-        total += sum(1 for x in left if x < splice)
-        left = [x for x in right if x >= splice]
-        done, end = splice, after
-    return total + len(left)
+        total += bisect.bisect_left(left[1], splice - base) - bisect.bisect_left(left[1], done - base)
+        left, base, done, end = right, begin, splice, after
+    return total + len(left[1]) - bisect.bisect_left(left[1], done - base)
+
+
+def _begins(tokens: Tokens, place: int) -> bool:
+    """Whether a token begins at ``place`` and the one before ends there."""
+    _, starts, ends = tokens
+    k = bisect.bisect_left(starts, place)
+    return k < len(starts) and starts[k] == place and (ends is None or k == 0 or ends[k - 1] <= place)
 
 
 class Counter:
-    """Counts tokens of batches of texts; remembers the counts of short cuts."""
+    """Counts tokens of batches of texts; ``chunked`` counts the texts that needed more than one chunk."""
 
-    def __init__(self, path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP):
-        self.path, self.huge, self.chunk, self.overlap = path, huge, chunk, overlap
-        self.known: dict[str, int] = {}
+    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
+        self.path, self.chunk, self.overlap, self.chunked = path, chunk, overlap, 0
 
     def counts(self, texts: list[str]) -> list[int]:
-        if self.path.endswith(".model"):
-            return [self._huge(x) if len(x) > self.huge else count_plain(self.path, [x])[0] for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        cuts = [None if len(x) > self.huge else _stable.split(x) for x in texts]
-        fresh: set[str] = set()
-        for parts in cuts:
-            if parts:
-                fresh.update(parts[1:])
-        rest = list(fresh.difference(known))
-        known.update(zip(rest, count_plain(self.path, [f" {x}" for x in rest]), strict=True))
-        firsts = iter(count_plain(self.path, [parts[0] for parts in cuts if parts]))
-        out = [self._huge(x) if parts is None else next(firsts) + sum(map(known.__getitem__, parts[1:])) for x, parts in zip(texts, cuts, strict=True)]
-        for part in rest:
-            if len(part) > LONGEST:
-                del known[part]
-        return out
-
-    def _huge(self, text: str) -> int:
-        return count_resynchronised(text, lambda x: _starts(self.path, x), self.chunk, self.overlap)
-
-
-_counters: dict[tuple, Counter] = {}
-
-
-def _counted(batches: Iterator[pa.RecordBatch], path: str, huge: int, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    counter = _counters.setdefault((path, huge, chunk, overlap), Counter(path, huge, chunk, overlap))
+        whole = iter(count_plain(self.path, [x for x in texts if len(x) <= self.chunk]))
+        return [next(whole) if len(x) <= self.chunk else self._spliced(x) for x in texts]
+
+    def _spliced(self, text: str) -> int:
+        self.chunked += 1
+        return count_resynchronised(text, lambda x: encoded(self.path, x), _is_byte_level(self.path), _added(self.path), self.chunk, self.overlap)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], path: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    counter = Counter(path, chunk, overlap)
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            counts = counter.counts([x or "" for x in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        for part in slices(batch, 1, TOGETHER_CHARS):
+            for at in range(0, part.num_rows, TOGETHER):
+                some = part.slice(at, TOGETHER)
+                counts = counter.counts([x or "" for x in some.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of ``docs``.
 
     Tokens are the library's for the whole text without begin, end or added
-    special tokens. Null counts as empty: 0 bytes, 0 tokens. Repeated rows give
-    repeated rows, null ids stay null, an empty table gives an empty one; other
-    columns aren't read.
+    special tokens. Null counts as empty: 0 bytes, 0 tokens. A very long text is
+    encoded chunk by chunk in its one task. Repeated rows give repeated rows,
+    null ids stay null, an empty table gives an empty one; other columns aren't
+    read. Ties don't arise: a row's count hangs on its text alone.
     """
     ship(docs.sparkSession)
     path = vocabulary_path(vocabulary)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    counted = rows.mapInArrow(lambda b: _counted(b, path, huge, chunk, overlap), "doc_id long, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(lambda b: _counted(b, path, chunk, overlap), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -25,7 +25,7 @@ def test_counts(messy, messy_rows, name):
     else:
         t = library(name)
         size = lambda x: len(t.encode(x, add_special_tokens=False).ids)
-    found = tokens.token_counts(messy, name, huge=1 << 16)
+    found = tokens.token_counts(messy, name)
     want = collections.Counter((i, len((t or "").encode()), size(t or ""), size(t or "") > 512) for i, t in messy_rows)
     assert collections.Counter(map(tuple, found.collect())) == want
 
@@ -35,14 +35,53 @@ def test_empty(nothing):
     assert packing.packed(nothing).count() == 0
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(400, 8), (50, 2), (10_000, 64)])
-@pytest.mark.parametrize("seed", range(3))
+def spliced(name, text, chunk=tokens.CHUNK, overlap=tokens.OVERLAP):
+    """(tokens, characters that were encoded)."""
+    path, sizes = tokens.vocabulary_path(name), []
+
+    def encode(x):
+        sizes.append(len(x))
+        return tokens.encoded(path, x)
+
+    return tokens.count_resynchronised(text, encode, tokens._is_byte_level(path), tokens._added(path), chunk, overlap), sum(sizes)
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(400, 8), (50, 2), (300, 140), (10_000, 64)])
+@pytest.mark.parametrize("seed", range(6))
 def test_resynchronisation(chunk, overlap, seed):
     rng = random.Random(seed)
-    alphabet = ["the", "word's", " ", "\n", "12", "é", "日本", "🙂", "--", "x" * 30, "<|endoftext|>", "\u00a0", "  ", "ing"]
+    alphabet = ["the", "word's", " ", "\n", "12", "é", "日本", "🙂", "--", "x" * 30, "<|endoftext|>", "\u00a0", "  ", "ing", "''s", "'", "s", "\u0301", "K'll9"]
     text = "".join(rng.choice(alphabet) + rng.choice(["", " "]) for _ in range(3000)) + "a" * 2000 + " b c"
-    path = tokens.vocabulary_path("byte_bpe_50k.json")
-    assert tokens.count_resynchronised(text, lambda x: tokens._starts(path, x), chunk, overlap) == tokens.count_plain(path, [text])[0]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        if chunk > 50 or name.startswith("byte"):
+            assert spliced(name, text, chunk, overlap)[0] == tokens.count_plain(tokens.vocabulary_path(name), [text])[0]
+
+
+def hard_texts():
+    rng = random.Random(8)
+    common = "the of and holding interest national paragraph wonder people market".split()
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    return {
+        "lines": "\n".join(rng.choice(common) for _ in range(30_000)),
+        "cjk": pick([chr(0x4E00 + i) for i in range(3000)], 60_000),
+        "kana": pick("あいうえおかきくけこさしすせそ", 40_000),
+        "base64": pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 200_000),
+        "letters": pick("etaoinshrdlu", 60_000),
+        "digits": pick("0123456789", 60_000),
+        "emoji": pick("🙂🙃😀🚀é", 30_000),
+        "glued": "".join(rng.choice(common) for _ in range(10_000)),
+        "blanks": " " * 30_000 + "x" + "\t \n" * 10_000,
+        "apostrophes": "'s" * 20_000 + "'" * 20_000,
+        "specials": "<|endoftext|>" * 3_000 + "<|endoftext|" * 3_000,
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(hard_texts()))
+def test_long_texts_are_exact_and_encoded_about_once(kind):
+    text = hard_texts()[kind]
+    found, encoded = spliced("byte_bpe_50k.json", text)
+    assert found == tokens.count_plain(tokens.vocabulary_path("byte_bpe_50k.json"), [text])[0]
+    assert encoded <= 1.5 * len(text), encoded / len(text)
 
 
 def test_encoder_is_the_library():
