@@ -1,24 +1,27 @@
 """Packing tokenised documents into sequences by swap-based local search.
 
 Documents are tokenised once; what is longer than a sequence is cut into whole
-sequences and a rest. The rests are dealt evenly into groups of a fixed size,
-and each group is packed on its own: best fit, largest first, then a local
-search among its underfull sequences that moves one document, exchanges one for
-one or two for one, always raising the sum of squared fills, until sequences
-run empty or no exchange helps. Sequences that aren't full give their documents
-back to a smaller pool, which is dealt and packed again, until one group
-holds the pool. So a group's leftovers are packed with others', and no task
-holds more than a group.
+sequences and a rest. The rests are dealt evenly into groups of bounded size.
+In a group they are first laid into sequences as they come, each beginning where
+the last one has no room. The local search does the packing: the fullest
+underfull sequence takes what fills it most from the others by moving a document
+to it, or exchanging one for one, one for two or two for one. It is at least as
+full as any other, so each such exchange raises the sum of squared fills;
+sequences run empty by and by. The search ends when there are as few sequences
+as the tokens need, or when no exchange helps any more.
+
+Full sequences are closed. The documents of all others go to a smaller pool,
+which is dealt and searched again; once a round closes little, each group closes
+all its sequences but the emptiest. So a group's leftovers are packed with
+others', until one group holds the pool. No task holds more than a group.
 """
 
 from __future__ import annotations
 
-import bisect
 import os
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import compress, count
 from operator import not_
@@ -35,12 +38,8 @@ from reqloom.llm.tokens import vocabulary_path
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-#: Documents in a group, which one task packs.
-GROUP = 4096
-#: Rounds of dealing and packing at most; the last one closes all its sequences.
-ROUNDS = 40
-#: Underfull sequences that give to others in a round of the local search, and documents of a sequence that are paired.
-DONORS, PAIRED = 12, 32
+#: Documents in a group, which one task packs; a group has at least LEAST_BINS sequences' worth of tokens, unless it is the only one.
+GROUP, LEAST_BINS = 4096, 4
 #: Pre-tokens a worker remembers at most, the longest it remembers, and bytes of text it works on at a time.
 REMEMBERED, LONGEST, SLICE_BYTES = 600_000, 64, 4 << 20
 
@@ -154,96 +153,205 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers: largest first, each where it leaves least room."""
+def laid(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item numbers in their order, each beginning where the last one has no room."""
     bins: list[list[int]] = []
-    by_room: dict[int, list[int]] = defaultdict(list)
-    rooms: list[int] = []  # sorted, those that a bin has
-    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[item]
-        at = bisect.bisect_left(rooms, n)
-        if at == len(rooms):
-            bins.append([item])
-            b, room = len(bins) - 1, capacity - n
-        else:
-            room = rooms[at]
-            b = by_room[room].pop()
-            if not by_room[room]:
-                del rooms[at]
-            bins[b].append(item)
-            room -= n
-        if room:
-            if not by_room[room]:
-                bisect.insort(rooms, room)
-            by_room[room].append(b)
+    room = 0
+    for item, n in enumerate(lengths):
+        if n > room:
+            bins.append([])
+            room = capacity
+        bins[-1].append(item)
+        room -= n
     return bins
 
 
-def _gain(target: list[int], donor: list[int], lengths: list[int], room: int, least: int) -> tuple[int, list[int], list[int]] | None:
-    """The change that fills ``target`` most: (tokens it gains, items from the donor, items to the donor).
+def _highest(bits: int, most: int) -> int:
+    """The highest number up to ``most`` whose bit is set, or -1."""
+    return (bits & ((2 << most) - 1)).bit_length() - 1 if most >= 0 else -1
 
-    Moves one item, or exchanges one for one, two for one or one for two. The
-    gain is over ``least`` and at most ``room``. Pairs are tried only if single
-    items don't fill the target.
-    """
-    best: tuple[int, list[int], list[int]] | None = None
-
-    def tried(give: list[tuple[int, list[int]]], take: list[tuple[int, list[int]]]) -> bool:
-        nonlocal best
-        take = sorted(take, key=lambda x: x[0])
-        sizes = [x[0] for x in take]
-        for n, items in give:
-            at = bisect.bisect_left(sizes, n - room)  # the smallest exchange that leaves no more than the room
-            if at < len(sizes) and n - sizes[at] > max(least, best[0] if best else 0):
-                best = (n - sizes[at], items, take[at][1])
-                if best[0] == room:
-                    return True
-        return False
-
-    singles = lambda items: [(lengths[i], [i]) for i in items]
-    pairs = lambda items: [(lengths[a] + lengths[b], [a, b]) for k, a in enumerate(items[:PAIRED]) for b in items[k + 1 : PAIRED]]
-    one, other = singles(donor), singles(target)
-    if not tried(one, [(0, []), *other]) and not tried(pairs(donor), other):
-        tried(one, pairs(target))
-    return best
-
-
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4) -> list[list[int]]:
-    """Raises the sum of squared fills by exchanges between underfull bins until some run empty or nothing helps.
-
-    In each round the emptiest bins give to the others, the fullest of these first.
+
+class Search:
+    """The local search over one group's bins. Sets of lengths are the bits of a number, so a look-up costs one operation.
+
+    ``exchanges`` counts the moves and exchanges that were made.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        changed = False
-        open_bins = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
-        for donor in open_bins[:DONORS]:
-            for target in sorted((b for b in open_bins if b != donor and 0 < fill[b] < capacity), key=lambda b: (-fill[b], b)):
-                if not 0 < fill[donor] < capacity:
-                    break
-                # squares rise if the target ends up fuller than the donor was
-                found = _gain(bins[target], bins[donor], lengths, capacity - fill[target], max(0, fill[donor] - fill[target]))
-                if found:
-                    gain, there, back = found
-                    bins[target] = [i for i in bins[target] if i not in back] + there
-                    bins[donor] = [i for i in bins[donor] if i not in there] + back
-                    fill[target] += gain
-                    fill[donor] -= gain
-                    changed = True
-        if not changed:
-            break
-    return [b for b in bins if b]
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.bins = [set(b) for b in bins]
+        self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.least = -(-sum(self.fill) // capacity)
+        self.owner = {i: k for k, b in enumerate(bins) for i in b}
+        self.offered: dict[int, dict[int, None]] = {}  # by length, the items that other bins may take
+        self.bits = 0
+        self.pair_bits: dict[int, int] = {}
+        self.n_bins = sum(1 for b in self.bins if b)
+        self.exchanges = 0
+        self.donors: set[int] = set()
+
+    def _open(self, k: int) -> bool:
+        return 0 < self.fill[k] < self.capacity
+
+    def _offer_item(self, i: int) -> None:
+        n = self.lengths[i]
+        self.offered.setdefault(n, {})[i] = None
+        self.bits |= 1 << n
+
+    def _withdraw(self, i: int) -> None:
+        n = self.lengths[i]
+        same = self.offered[n]
+        del same[i]
+        if not same:
+            del self.offered[n]
+            self.bits ^= 1 << n
+
+    def _pairs(self, k: int) -> int:
+        """The sums of two of a bin's items."""
+        if k not in self.pair_bits:
+            sums = seen = 0
+            for i in self.bins[k]:
+                n = self.lengths[i]
+                if seen >> n & 1:
+                    sums |= 1 << 2 * n
+                else:
+                    sums |= seen << n
+                    seen |= 1 << n
+            self.pair_bits[k] = sums
+        return self.pair_bits[k]
+
+    def _best(self, target: int) -> tuple[list[int], list[int]] | None:
+        """(items to the target, items from it) of the largest gain that it has room for."""
+        room, lengths = self.capacity - self.fill[target], self.lengths
+        own: dict[int, list[int]] = {}
+        for i in self.bins[target]:
+            own.setdefault(lengths[i], []).append(i)
+        best, change = 0, None
+
+        def tried(found: int, n: int) -> bool:
+            nonlocal best
+            if found - n <= best:
+                return False
+            best = found - n
+            return True
+
+        for n, give in ((0, []), *((n, x[:1]) for n, x in own.items())):
+            if tried(found := _highest(self.bits, n + room), n):
+                change = [next(reversed(self.offered[found]))], give
+                if best == room:
+                    return change
+        kinds = list(own)
+        for at, n in enumerate(kinds):
+            for m in kinds[at if len(own[n]) > 1 else at + 1 :]:
+                if tried(found := _highest(self.bits, n + m + room), n + m):
+                    change = [next(reversed(self.offered[found]))], [own[n][0], own[m][-1]]
+                    if best == room:
+                        return change
+        for k in self.donors:
+            if len(self.bins[k]) > 1:
+                pairs = self._pairs(k)
+                for n in kinds:
+                    if tried(found := _highest(pairs, n + room), n):
+                        change = self._pair_of(k, found), own[n][:1]
+                        if best == room:
+                            return change
+        return change
+
+    def _pair_of(self, k: int, total: int) -> list[int]:
+        seen: dict[int, int] = {}
+        for i in self.bins[k]:
+            if (j := seen.get(total - self.lengths[i])) is not None:
+                return [j, i]
+            seen[self.lengths[i]] = i
+        raise AssertionError("the bin has no such pair")
+
+    def _fill_up(self, target: int) -> None:
+        """Exchanges with the donors, none of which is fuller, until the target is full or nothing helps it."""
+        for i in self.bins[target]:
+            self._withdraw(i)
+        while self.fill[target] < self.capacity and (found := self._best(target)):
+            there, back = found
+            donor = self.owner[there[0]]
+            for i in there:
+                self._withdraw(i)
+                self.bins[donor].remove(i)
+                self.bins[target].add(i)
+                self.owner[i] = target
+            for i in back:
+                self.bins[target].remove(i)
+                self.bins[donor].add(i)
+                self.owner[i] = donor
+                self._offer_item(i)
+            gain = sum(self.lengths[i] for i in there) - sum(self.lengths[i] for i in back)
+            self.fill[target] += gain
+            self.fill[donor] -= gain
+            self.pair_bits.pop(target, None)
+            self.pair_bits.pop(donor, None)
+            if not self.bins[donor]:
+                self.n_bins -= 1
+                self.donors.remove(donor)
+            self.exchanges += 1
+
+    def run(self) -> list[list[int]]:
+        while self.n_bins > self.least:
+            before = self.exchanges
+            self.donors = {k for k in range(len(self.bins)) if self._open(k)}
+            for k in self.donors:
+                for i in self.bins[k]:
+                    self._offer_item(i)
+            while self.donors and self.n_bins > self.least:
+                target = max(self.donors, key=lambda k: (self.fill[k], -k))
+                self.donors.remove(target)
+                self._fill_up(target)
+            for k in self.donors:
+                for i in self.bins[k]:
+                    self._withdraw(i)
+            if self.exchanges == before:
+                break
+        return [sorted(b) for b in self.bins if b]
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Raises the sum of squared fills by exchanges of underfull bins with others no fuller, until there are as few bins as can be or none helps."""
+    return Search(bins, lengths, capacity).run()
+
+
+def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item numbers, largest items first, each where it leaves least room."""
+    bins: list[list[int]] = []
+    by_room: dict[int, list[int]] = {}
+    rooms = 0  # a bit for each room that a bin has
+    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        n = lengths[item]
+        fitting = rooms >> n << n
+        if fitting:
+            room = (fitting & -fitting).bit_length() - 1
+            k = by_room[room].pop()
+            if not by_room[room]:
+                rooms ^= 1 << room
+        else:
+            bins.append([])
+            k, room = len(bins) - 1, capacity
+        bins[k].append(item)
+        by_room.setdefault(room - n, []).append(k)
+        if room > n:
+            rooms |= 1 << (room - n)
+    return bins
 
 
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+    """The local search from a plain start; where that leaves more bins than the tokens need, from best fit too, and the better one."""
+    bins = local_search(laid(lengths, capacity), lengths, capacity)
+    if len(bins) * capacity >= sum(lengths) + capacity:
+        bins = min(bins, local_search(best_fit(lengths, capacity), lengths, capacity), key=len)
+    return bins
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, offset long, fill long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, offset long, fill long, emptiest long"
 
 
 def _pack_group(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True]).reset_index(drop=True)
+    group = group.sort_values(["doc_id", "piece", "ids_crc32", "length"]).reset_index(drop=True)
     lengths = group["length"].tolist()
     number, offset, fill = [0] * len(lengths), [0] * len(lengths), [0] * len(lengths)
     for k, items in enumerate(pack(lengths, capacity)):
@@ -253,15 +361,18 @@ def _pack_group(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
             at += lengths[i]
         for i in items:
             fill[i] = at
-    return group.assign(bin=number, offset=offset, fill=fill)[["doc_id", "piece", "start", "length", "ids_crc32", "grp", "bin", "offset", "fill"]]
+    emptiest = number[int(np.argmin(fill))]
+    return group.assign(bin=number, offset=offset, fill=fill, emptiest=emptiest)[["doc_id", "piece", "start", "length", "ids_crc32", "grp", "bin", "offset", "fill", "emptiest"]]
 
 
 def packed(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    Null and empty texts are a document of the end id alone. Repeated rows are
-    packed each for itself; null ids are packed and stay null. An empty table
-    gives an empty one. Other columns aren't read.
+    Null and empty texts are a document of the end id alone. Very long texts are
+    cut into whole sequences and a rest. Repeated rows are packed each for
+    itself; null ids are packed and stay null. Of exchanges that gain as much the
+    first found is made. An empty table gives an empty one. Other columns aren't
+    read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -271,26 +382,27 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     whole = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     out = whole.select(*columns, "sequence_id", "offset")
-    pool, pool_path, left = pieces.where(F.col("length") < capacity), None, None
-    for round_no in range(ROUNDS):
-        n = pool.count()
-        if not n:
+    pool, pool_path, round_no, close_most = pieces.where(F.col("length") < capacity), None, 0, False
+    while True:
+        size = pool.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+        if not size["n"]:
             break
-        groups = -(-n // group)
-        last = groups == 1 or round_no == ROUNDS - 1 or (left is not None and n > 0.9 * left)
-        left = n
+        groups = max(1, min(-(-size["n"] // group), size["tokens"] // (LEAST_BINS * capacity)))
         dealt = pool.select(*columns, F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(groups)).alias("grp"))
-        made, made_path = written_at(dealt.groupBy("grp").applyInPandas(lambda g: _pack_group(g, capacity), _PACKED), "packed")
-        closed = made if last else made.where(F.col("fill") == capacity)
-        numbered = F.lit(round_no << 56) + F.shiftleft(F.col("grp"), 16) + F.col("bin")
-        out = out.unionByName(closed.withColumn("sequence_id", numbered).select(*columns, "sequence_id", "offset"))
+        made, _ = written_at(dealt.groupBy("grp").applyInPandas(lambda g: _pack_group(g, capacity), _PACKED), "packed")
         if pool_path:
             delete_path(spark, pool_path)
-        pool_path = None
-        if last:
+        full = F.lit(True) if groups == 1 else F.col("fill") == capacity
+        if close_most and groups > 1:
+            full = full | (F.col("bin") != F.col("emptiest"))
+        numbered = F.lit(round_no << 56) + F.shiftleft(F.col("grp"), 16) + F.col("bin")
+        out = out.unionByName(made.where(full).withColumn("sequence_id", numbered).select(*columns, "sequence_id", "offset"))
+        if groups == 1:
             break
-        pool, pool_path = written_at(made.where(F.col("fill") < capacity).select(*columns), "packing-pool")
-        _ = made_path
+        pool, pool_path = written_at(made.where(~full).select(*columns), "packing-pool")
+        # once little is closed, all but the emptiest of each group's sequences are: the pool shrinks to one of each LEAST_BINS at most
+        close_most = close_most or made.where(full).count() < size["n"] // 10
+        round_no += 1
     return out
 
 

@@ -121,21 +121,53 @@ def test_packing(messy, messy_rows, capacity, group):
         assert len(by) == -(-sum(r.length for r in found) // capacity)
 
 
-def test_local_search_raises_squares():
+def squares(bins, lengths):
+    return sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+
+
+@pytest.mark.parametrize("start", [packing.laid, packing.best_fit])
+def test_local_search_raises_squares(start):
     rng = random.Random(2)
-    for _ in range(20):
-        lengths = [rng.randint(1, 90) for _ in range(120)]
-        before = packing.best_fit(lengths, 100)
-        square = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)  # noqa: E731, B023
-        after = packing.local_search([list(b) for b in before], lengths, 100)
-        assert sorted(i for b in after for i in b) == list(range(120))
-        assert all(sum(lengths[i] for i in b) <= 100 for b in after)
-        assert square(after) >= square(before) and len(after) <= len(before)
+    for low in (1, 1, 20, 30):
+        lengths = [rng.randint(low, 90) for _ in range(120)]
+        before = start(lengths, 100)
+        after = packing.local_search(before, lengths, 100)
+        assert sorted(i for b in before for i in b) == sorted(i for b in after for i in b) == list(range(120))
+        assert all(0 < sum(lengths[i] for i in b) <= 100 for b in after)
+        assert len(after) < len(before) or squares(after, lengths) >= squares(before, lengths)
+        assert len(packing.pack(lengths, 100)) <= len(after)
     spread = [[0, 1], [2, 3], [4]]  # an exchange is needed: 60+20, 50+30, 40 -> two full bins of 100
     assert len(packing.local_search(spread, [60, 20, 50, 30, 40], 100)) == 2
 
 
-def test_last_round_closes_what_is_left(spark, messy, messy_rows, monkeypatch):
-    monkeypatch.setattr(packing, "ROUNDS", 1)
-    found = packing.packed(messy, capacity=64, group=4).collect()
-    assert collections.Counter(tuple(r)[:5] for r in found) == collections.Counter(pieces_of(messy_rows, 64))
+def test_local_search_ends_where_nothing_helps():
+    """Moves and exchanges of all kinds are tried from scratch on what it returns: no bin gains from one that is no fuller."""
+    rng = random.Random(6)
+    for _ in range(30):
+        lengths = [rng.randint(25, 70) for _ in range(24)]
+        bins = packing.local_search(packing.laid(lengths, 100), lengths, 100)
+        if len(bins) == -(-sum(lengths) // 100):
+            continue
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        parts = lambda b: [[], *([i] for i in b), *([i, j] for k, i in enumerate(b) for j in b[k + 1 :])]
+        size = lambda x: sum(lengths[i] for i in x)
+        for t, target in enumerate(bins):
+            for d, donor in enumerate(bins):
+                if t != d and fill[d] <= fill[t]:
+                    gains = [size(x) - size(y) for x in parts(donor) for y in parts(target) if x and len(x) + len(y) <= 3]
+                    assert not any(0 < g <= 100 - fill[t] for g in gains)
+
+
+def test_search_where_best_fit_falls_short():
+    rng = random.Random(1)
+    lengths = [rng.randint(900, 1800) for _ in range(4096)]
+    plain, fitted, least = packing.laid(lengths, 4096), packing.best_fit(lengths, 4096), -(-sum(lengths) // 4096)
+    found = packing.local_search(plain, lengths, 4096)
+    assert len(found) <= 1.01 * least < 1.05 * least < len(fitted) < len(plain)
+
+
+def test_leftovers_of_all_groups_meet(spark):
+    """No sequence is ever full here: each group closes all but its emptiest sequence."""
+    docs = spark.range(0, 300, 1, 7).selectExpr("id as doc_id", "repeat('a ', 20) as text")
+    found = packing.packed(docs, capacity=64, group=16).collect()
+    assert len(found) == 300 and len({r.sequence_id for r in found}) == 100
