@@ -32,6 +32,8 @@ from reqloom.llm.common import delete_path, scratch_path, ship, table, written
 ARCHIVE_BYTES, LEVEL, BLOCK = 64 << 20, 4, 1 << 20
 #: Revisits up to this number (16 bytes each) are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Tasks, at most, among which archives are dealt.
+MOST_TASKS = 20_000
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -90,17 +92,29 @@ def parse_record(data: bytes) -> dict:
 
 
 def inflated(stream: BinaryIO) -> Iterator[bytes]:
-    """Blocks of what a gzip file of one or more members holds."""
-    inflate = zlib.decompressobj(31)
+    """Blocks of what a gzip file of one or more members holds.
+
+    ValueError if the last member has no end with its check sum, or if what
+    follows a member isn't another one.
+    """
+    inflate, begun = zlib.decompressobj(31), False
     while data := stream.read(BLOCK):
         while data:
-            out = inflate.decompress(data, BLOCK)
+            begun = True
+            try:
+                out = inflate.decompress(data, BLOCK)
+            except zlib.error as error:
+                raise ValueError(f"the archive isn't whole gzip members: {error}") from error
             if out:
                 yield out
             if inflate.eof:
-                data, inflate = inflate.unused_data, zlib.decompressobj(31)
+                data, inflate, begun = inflate.unused_data, zlib.decompressobj(31), False
             else:
                 data = inflate.unconsumed_tail
+    while begun and (out := inflate.decompress(inflate.unconsumed_tail, BLOCK)):
+        yield out
+    if begun and not inflate.eof:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def records(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -127,13 +141,13 @@ def records(blocks: Iterator[bytes]) -> Iterator[bytes]:
 
 def _write_monolithic(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     out = None
-    size = 0
+    size = n = 0
 
     def closed() -> pa.RecordBatch:
         stream, deflate, name = out
         stream.write(deflate.flush())
         stream.close()
-        return pa.RecordBatch.from_arrays([pa.array([name])], ["path"])
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["path", "n"])
 
     for batch in batches:
         for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -142,8 +156,10 @@ def _write_monolithic(batches: Iterator[pa.RecordBatch], folder: str) -> Iterato
                 system, path = _filesystem(name)
                 system.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 out, size = (system.open_output_stream(path, compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), name), 0
+                n = 0
             data = record(page_id, url, html, refers_to, revisit)
             size += len(data)
+            n += 1
             out[0].write(out[1].compress(data))
             if size >= ARCHIVE_BYTES:
                 yield closed()
@@ -170,9 +186,11 @@ def normalise_file(source: str, target: str) -> int:
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for source in batch.column(0).to_pylist():
+        for source, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             target = f"{source.removesuffix('.warc.gz')}-{uuid.uuid4().hex}-members.warc.gz"
             n = normalise_file(source, target)
+            if expected is not None and n != expected:
+                raise ValueError(f"{source} has {n} records; {expected} were written")
             yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([target]), pa.array([n], pa.int64())], ["source", "path", "n"])
 
 
@@ -196,7 +214,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Writes monolithic archives below ``folder``; (path) of each.
+    """Writes monolithic archives below ``folder``; (path, n) of each, ``n`` being its records.
 
     Of records whose payloads are equal and have at least ``least_bytes`` bytes
     that with the largest page_id is a response and the others revisit it.
@@ -215,28 +233,40 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     few = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
     joined = rows.join(few, F.col("counts") & (F.col("own_digest") == F.col("digest")), "left")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    made = joined.select("page_id", "url", "html", "refers_to", revisit.alias("revisit")).mapInArrow(lambda b: _write_monolithic(b, folder), "path string")
+    made = joined.select("page_id", "url", "html", "refers_to", revisit.alias("revisit")).mapInArrow(lambda b: _write_monolithic(b, folder), "path string, n long")
     return written(made, "archives")
 
 
+def _one_each(archives: DataFrame, columns: list[str]) -> DataFrame:
+    """``archives`` dealt out singly: rows of a few bytes stand for large files, so Spark's own sizes would put many into one task."""
+    return archives.select(*columns).repartition(max(1, min(MOST_TASKS, archives.count())))
+
+
 def normalise_archives(archives: DataFrame) -> DataFrame:
-    """(source, path, n): each archive of ``archives`` (path) rewritten with a member for each record."""
+    """(source, path, n): each archive of ``archives`` (path, n) rewritten with a member for each record.
+
+    The job fails on an archive that is cut short or has other bytes between or
+    after its members, and on one that hasn't the ``n`` records it should have
+    (null: unknown).
+    """
     ship(archives.sparkSession)
-    return written(archives.select("path").repartition("path").mapInArrow(_normalise, "source string, path string, n long"), "normalised")
+    known = archives if "n" in archives.columns else archives.withColumn("n", F.lit(None).cast("long"))
+    return written(_one_each(known, ["path", "n"]).mapInArrow(_normalise, "source string, path string, n long"), "normalised")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """The records of normalised archives (path), by their sidecars."""
     ship(archives.sparkSession)
-    return archives.select("path").repartition("path").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _one_each(archives, ["path"]).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Pages written to archives, normalised, and read back: one row for each page.
 
     (page_id, payload_bytes, payload_digest, record_type, refers_to). Nulls and
-    repeated rows as :func:`write_archives` says; an empty table gives an empty
-    one. Other columns aren't read.
+    repeated rows as :func:`write_archives` says. A very long payload is held
+    whole by its task, once. An empty table gives an empty one. Other columns
+    aren't read.
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")

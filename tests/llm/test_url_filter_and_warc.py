@@ -101,3 +101,30 @@ def test_normaliser(tmp_path):
         warc.parse_record(bytes(broken))
     with pytest.raises(ValueError):
         list(warc.records(iter([data[0][:-3]])))
+
+
+def test_cut_and_dirty_archives_are_errors(tmp_path):
+    """A stream cut anywhere, even at a record's end, one without its trailer, and bytes after the last member."""
+    data = [warc.record(i, f"http://{i}", b"x" * (1000 * i), None, False) for i in range(1, 4)]
+    deflate = zlib.compressobj(4, zlib.DEFLATED, 31)
+    cut = deflate.compress(data[0] + data[1]) + deflate.flush(zlib.Z_FULL_FLUSH)  # inflates to two whole records
+    whole = gzip.compress(b"".join(data))
+    bad = {"cut": cut, "no trailer": whole[:-8], "half a trailer": whole[:-3], "half": whole[: len(whole) // 2], "garbage": whole + b"garbage", "zeros": whole + b"\0" * 9, "second cut": whole + whole[:-1]}
+    for name, content in bad.items():
+        (tmp_path / "bad.warc.gz").write_bytes(content)
+        with pytest.raises(ValueError):
+            warc.normalise_file(f"file://{tmp_path}/bad.warc.gz", f"file://{tmp_path}/out.warc.gz")
+            raise AssertionError(name)
+    (tmp_path / "good.warc.gz").write_bytes(whole + whole)
+    assert warc.normalise_file(f"file://{tmp_path}/good.warc.gz", f"file://{tmp_path}/out.warc.gz") == 6
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    assert warc.normalise_file(f"file://{tmp_path}/empty.warc.gz", f"file://{tmp_path}/out.warc.gz") == 0
+
+
+def test_a_task_for_each_archive(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 5).selectExpr("id as page_id", "cast(id as string) as url", "repeat('y', 100) as html")
+    archives = warc.write_archives(rows, f"file://{tmp_path}/a")
+    assert archives.agg({"n": "sum"}).first()[0] == 40
+    assert warc._one_each(archives, ["path", "n"]).rdd.getNumPartitions() == archives.count() == 5
+    with pytest.raises(Exception, match="were written"):
+        warc.normalise_archives(archives.selectExpr("path", "n + 1 as n")).count()
