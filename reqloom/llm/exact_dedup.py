@@ -4,7 +4,9 @@ The index is a Parquet table bucketed and sorted by digest. A batch is first
 reduced to its distinct digests (partial aggregation, so a digest that a third
 of all rows share costs one row a task), which a sort-merge anti-join holds
 against the index: the index side is read bucket by bucket, without a shuffle.
-What is new is appended.
+What is new is appended, with the batch's id. A batch that is run again, after a
+lost driver or by mistake, finds its own digests by that id and gives the same
+rows as before.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from reqloom.llm.common import delete_path, fresh_name, if_few, scratch_path, table, written
 
-BUCKETS = 16
+#: Buckets of a new index: at least BUCKETS, and one for each so many digests expected, up to MOST_BUCKETS.
+BUCKETS, BUCKET_ROWS, MOST_BUCKETS = 16, 4_000_000, 16_384
 
 
 def digest(text_col: str):
@@ -24,10 +27,10 @@ def digest(text_col: str):
 
 
 class DigestIndex:
-    """Rows (digest, keep_id, group_size): each digest once, with the id of the row that stays."""
+    """Rows (digest, keep_id, group_size, batch): each digest once, with the id of the row that stays and the batch that brought it."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        """Opens the index at ``path``, or begins one there. ``buckets`` holds for a new one only."""
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, expected_rows: int = 0):
+        """Opens the index at ``path``, or begins one there. ``buckets`` and ``expected_rows`` hold for a new one only."""
         self.spark, self.path = spark, path.rstrip("/")
         self.name = f"digest_index_{uuid.uuid4().hex}"
         described = f"{self.path}_layout"
@@ -35,10 +38,11 @@ class DigestIndex:
         if layout.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(layout):
             buckets = spark.read.parquet(described).first()["buckets"]
         else:
+            buckets = buckets or min(MOST_BUCKETS, max(BUCKETS, -(-expected_rows // BUCKET_ROWS)))
             spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(described)
         self.buckets = buckets
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
         )
 
@@ -48,10 +52,15 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, groups: DataFrame) -> DataFrame:
+    def known(self, groups: DataFrame, batch: str) -> DataFrame:
+        """(digest, keep_id, group_size, fresh) of the digests of ``groups`` that are here; ``fresh``: this batch brought them."""
+        held = self.read().hint("merge").join(groups.select("digest"), "digest")
+        return written(held.select("digest", "keep_id", "group_size", (F.col("batch") == batch).alias("fresh")), "known-digests")
+
+    def add(self, groups: DataFrame, batch: str) -> DataFrame:
         """Appends the (digest, keep_id, group_size) rows of new digests and returns them."""
         fresh = written(groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti").select("digest", "keep_id", "group_size"), "fresh-digests")
-        fresh.repartition(self.buckets, "digest").write.mode("append").insertInto(self.name)
+        fresh.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest").write.mode("append").insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
         return fresh
 
@@ -71,58 +80,74 @@ def _pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _groups(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    """For each digest the largest id, its rows, and how many of these have that id."""
+    times = F.max_by("n", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    return pairs.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), times.alias("times"))
+
+
+def batch_id(pairs: DataFrame) -> str:
+    """The same for the same rows, in any order: their number and a sum of their hashes."""
+    row = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("digest", "doc_id", "n").cast("decimal(38,0)")).alias("h")).first()
+    return f"{row['n']}:{row['h'] or 0}"
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _decided(pairs: DataFrame, index: DigestIndex | None, batch: str | None) -> DataFrame:
+    """(digest, keep_id, group_size, fresh, times) for each digest of the batch; new ones are in the index afterwards."""
+    spark, groups = pairs.sparkSession, _groups(pairs)
+    if index is None:
+        groups = written(groups, "digest-groups")
+        own = DigestIndex(spark, scratch_path(spark, "digest-index"), expected_rows=groups.count())
+        own.add(groups, "first")  # all of them: the index was empty
+        own.delete()
+        return groups.withColumn("fresh", F.lit(True))
+    groups, batch = written(groups, "digest-groups"), batch or batch_id(pairs)
+    known = index.known(groups, batch)
+    added = index.add(groups, batch).withColumn("fresh", F.lit(True))
+    return known.unionByName(added).join(groups.select("digest", "times"), "digest")
+
+
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of ``docs``.
 
     Of equal texts the row with the largest doc_id stays; ``group_size`` counts
     all of them. With an ``index`` that has a text already, none of the batch's
     rows stays, and keep_id and group_size are the index's; new texts are added.
+    ``batch`` names the batch in the index (by default its rows do), so that one
+    run again gets the same rows.
 
-    Null counts as empty text. Of rows repeated whole, one is kept. Null doc_ids
-    stay only where a group has no other, once. Other columns aren't read. An
-    empty table gives an empty one.
+    Null counts as empty text; very long texts count whole. Of rows repeated
+    whole, one is kept. Null doc_ids stay only where a group has no other, once.
+    Other columns aren't read. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     pairs = written(_pairs(docs, id_col, text_col), "digest-pairs")
-    own = index or DigestIndex(spark, scratch_path(spark, "digest-index"))
-    before = own.read().select("digest") if index else None
-    known = written(before.join(pairs.select("digest").distinct(), "digest", "left_semi"), "known-digests") if before is not None else None
-    own.add(_groups(pairs))
-    # Read apart from its bucketing: with a shuffle on both sides AQE can split a hot digest.
-    held = spark.read.schema(own.read().schema).parquet(own.path).select(F.col("digest").alias("of"), "keep_id", "group_size")
+    held = _decided(pairs, index, batch).select(F.col("digest").alias("of"), "keep_id", "group_size", "fresh")
+    # both sides are the batch's own and are shuffled, so AQE can split a hot digest
     joined = pairs.join(held, pairs["digest"] == held["of"])
-    if known is None:
-        joined = joined.withColumn("fresh", F.lit(True))
-    else:
-        joined = joined.join(known.withColumn("fresh", F.lit(False)), "digest", "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("fresh")
     rows = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return rows.select("doc_id", "keep_id", "group_size", (stays & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, as :func:`exact_duplicates` decides; columns stay as they are.
+def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_duplicates` keeps; columns stay as they are.
+
+    Null counts as empty text, very long texts count whole, of rows repeated
+    whole one stays, null ids stay only where a group has no other; an empty
+    table gives an empty one, and a batch run again on its ``index`` the same rows.
 
     Only digests that occur more than once, or that the index had, are joined
     back. These are broadcast if they are few (BROADCAST_ROWS), so that texts
     aren't shuffled; else the join is a sort-merge join whose hot digests AQE splits.
     """
-    spark = docs.sparkSession
-    own = index or DigestIndex(spark, scratch_path(spark, "digest-index"))
     pairs = written(_pairs(docs, id_col, text_col), "digest-pairs")
-    fresh = own.add(_groups(pairs)).select("digest", F.lit(True).alias("fresh"))
-    groups = pairs.groupBy("digest").agg(F.max("doc_id").alias("keep"), F.sum("n").alias("size"), F.max_by("n", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("times"))
-    held = groups.join(fresh, "digest", "left") if index else groups.withColumn("fresh", F.lit(True))
+    held = _decided(pairs, index, batch)
     mine, keep, whole, number, tag = (fresh_name(docs.columns, x) for x in ("of_digest", "row_keep", "row_whole", "row_number", "row_digest"))
-    decided = held.where("size > 1 or fresh is null").select(F.col("digest").alias(mine), F.col("keep").alias(keep), (F.col("fresh") & (F.col("times") == 1)).alias(whole), F.col("fresh").alias(number))
+    decided = held.where("group_size > 1 or not fresh").select(F.col("digest").alias(mine), F.col("keep_id").alias(keep), (F.col("fresh") & (F.col("times") == 1)).alias(whole), F.col("fresh").alias(number))
     decided = written(decided, "decided-digests")
     tagged, row_id = docs.withColumn(tag, digest(text_col)), F.col(id_col).cast("long")
     joined = tagged.join(if_few(decided.select(mine, keep, whole)), F.col(tag) == F.col(mine), "left")
-    plain = joined.where(F.col(mine).isNull() | (F.coalesce(whole, F.lit(False)) & row_id.eqNullSafe(F.col(keep)))).select(*(joined[f"`{c}`"] for c in docs.columns))
-    repeated = written(decided.where(F.col(number) & ~F.coalesce(whole, F.lit(False))).select(mine, keep), "repeated-digests")
+    plain = joined.where(F.col(mine).isNull() | (F.col(whole) & row_id.eqNullSafe(F.col(keep)))).select(*(joined[f"`{c}`"] for c in docs.columns))
+    repeated = written(decided.where(F.col(number) & ~F.col(whole)).select(mine, keep), "repeated-digests")
     if repeated.isEmpty():
         return plain
     again = tagged.join(if_few(repeated), (F.col(tag) == F.col(mine)) & row_id.eqNullSafe(F.col(keep)), "left_semi")

@@ -47,6 +47,38 @@ def test_index_persists(spark, tmp_path):
     found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in m.exact_duplicates(table_of(spark, [(5, "a"), (6, "c"), (7, ""), (8, "c")], False), again).collect()}
     assert found == {5: (2, 2, False), 6: (8, 2, False), 7: (4, 1, False), 8: (8, 2, True)}
     assert again.read().count() == 4
-    plan = spark.table(again.name).select("digest").join(again.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("Bucketed: true") == 2 and "Exchange" not in plan
+    groups = m._groups(m._pairs(table_of(spark, [(9, "z")], False), "doc_id", "text"))
+    plan = groups.join(again.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    scan = next(k for k, line in enumerate(plan.splitlines()) if "Bucketed: true" in line)
+    above = plan.splitlines()[:scan]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    level, path = depth(plan.splitlines()[scan]), []
+    for line in reversed(above):
+        if depth(line) < level:
+            level = depth(line)
+            path.append(line)
+    assert path and not any("Exchange" in line for line in path)
     again.delete()
+
+
+def test_batch_run_again_gives_the_same_rows(spark, tmp_path):
+    """Also if the first run died after its digests were appended, and after other batches."""
+    index = m.DigestIndex(spark, f"file://{tmp_path}/again", 4)
+    first, second = table_of(spark, [(1, "a"), (2, "a"), (3, "b")], False), table_of(spark, [(4, "b"), (5, "c"), (None, "d")], False)
+    rows = lambda df: collections.Counter(map(tuple, m.exact_duplicates(df, index).collect()))
+    one = rows(first)
+    assert rows(first) == one and sum(r[3] for r in one.elements()) == 2
+    two = rows(second)
+    assert rows(first) == one and rows(second) == two and {r[0] for r in two if r[3]} == {5, None}
+    assert sorted(r.doc_id for r in m.drop_exact_duplicates(first, index).collect()) == [2, 3]
+    assert index.read().count() == 4
+    index.delete()
+
+
+def test_no_table_is_left_in_the_catalog(spark, messy):
+    before = {t.name for t in spark.catalog.listTables()}
+    m.exact_duplicates(messy).count()
+    m.drop_exact_duplicates(messy).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert m.DigestIndex(spark, m.scratch_path(spark, "wide"), expected_rows=10**12).buckets == m.MOST_BUCKETS
