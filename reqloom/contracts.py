@@ -48,9 +48,14 @@ def require_count(df: DataFrame, least: int, most: int | None = None, name: str
     return df
 
 
+def key_differences(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that either table hasn't exactly once, with how often each has them (in_a, in_b)."""
+    counts = a.select(*keys, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(b.select(*keys, F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))
+    return counts.groupBy(*keys).agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b")).where("in_a <> 1 or in_b <> 1")
+
+
 def require_same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str = "tables") -> None:
     """Both have the same keys, each once."""
-    counts = a.select(*keys, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(b.select(*keys, F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))
-    off = counts.groupBy(*keys).agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b")).where("in_a <> 1 or in_b <> 1").limit(5).collect()
+    off = key_differences(a, b, keys).limit(5).collect()
     if off:
         raise ContractError(f"{name}: keys differ: {[tuple(r) for r in off]}")

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reqloom.functions.plan import let
+
 # Fixed value: the normal quantile of a two-sided 95 % interval.
 Z95 = 1.959963984540054
 # Sentiment labels in order.
@@ -20,13 +22,14 @@ def array_sum(weights: Column) -> Column:
 
 def normalised(weights: Column) -> Column:
     """Weights that sum to one; all zero stays as it is."""
-    total = array_sum(weights)
-    return F.when(total > 0, F.transform(weights, lambda x: x.cast("double") / total)).otherwise(F.transform(weights, lambda x: x.cast("double")))
+    shares = lambda held, total: F.transform(held, lambda x: F.when(total > 0, x.cast("double") / total).otherwise(x.cast("double")))
+    return let(weights, lambda held: let(array_sum(held), lambda total: shares(held, total)))
 
 
 def dominant(weights: Column) -> Column:
     """Place of the first largest weight; -1 for no weight at all."""
-    return F.when(array_sum(weights) > 0, (F.array_position(weights, F.array_max(weights)) - 1).cast("int")).otherwise(F.lit(-1))
+    place = lambda held: F.when(array_sum(held) > 0, (F.array_position(held, F.array_max(held)) - 1).cast("int")).otherwise(F.lit(-1))
+    return let(weights, place)
 
 
 def local_weight(distribution: Column, topic: Column, k: Column) -> tuple[Column, Column]:

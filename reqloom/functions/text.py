@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reqloom.functions.plan import let
+
 #: White space as Unicode has it, with the separators 0x1c-0x1f.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -83,8 +85,10 @@ def collapse_space(text: Column) -> Column:
 
 
 def unescape_html(text: Column) -> Column:
-    """HTML5 entities resolved. Spark has no such function; batches go through Arrow."""
-    return F.pandas_udf(lambda x: x.map(lambda s: None if s is None else html.unescape(s)), "string")(text)
+    """HTML5 entities resolved. Spark has no such function; texts with ``&`` go through Arrow, others as nulls."""
+    has = text.contains("&")
+    resolved = F.pandas_udf(lambda x: x.map(html.unescape, na_action="ignore"), "string")(F.when(has, text))
+    return F.when(has, resolved).otherwise(text)
 
 
 def demojize(text: Column, names: Callable[[pd.Series], pd.Series]) -> Column:
@@ -93,11 +97,7 @@ def demojize(text: Column, names: Callable[[pd.Series], pd.Series]) -> Column:
 
 
 def clean_text(text: Column, unescape: bool = True, emoji: Callable[[pd.Series], pd.Series] | None = None) -> Column:
-    """Entities, emoji, runs of one character, white space; in that order.
-
-    Rows without ``&`` skip the entity step's Arrow batch in result, not in
-    cost; pass ``unescape=False`` where texts have no entities.
-    """
+    """Entities, emoji, runs of one character, white space; in that order."""
     if unescape:
         text = unescape_html(text)
     if emoji is not None:
@@ -154,13 +154,14 @@ def tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
 
 def detect_language(text: Column, least_words: int = 5) -> Column:
     """The language most of whose function words occur; null below ``least_words`` words or without any."""
+    names = F.array(*map(F.lit, LANGUAGE_WORDS))
+    every = sorted({w for own in LANGUAGE_WORDS.values() for w in own})
+    # an array's first largest number decides, so languages come first in their order
+    pick = lambda votes: F.when(F.array_max(votes) > 0, F.element_at(names, F.array_position(votes, F.array_max(votes)).cast("int")))
+    count = lambda known: F.array(*(_hits(known, list(own)) for own in LANGUAGE_WORDS.values()))
+    vote = lambda words: let(let(F.filter(words, lambda w: w.isin(every)), count), pick)
     words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
-    votes = [(_hits(words, list(own)), name) for name, own in LANGUAGE_WORDS.items()]
-    best = F.greatest(*(n for n, _ in votes))
-    out = F.when((F.size(words) < least_words) | (best == 0), F.lit(None).cast("string"))
-    for n, name in votes:
-        out = out.when(n == best, F.lit(name))
-    return F.when(text.isNotNull(), out)
+    return let(words, lambda held: F.when(F.size(held) >= least_words, vote(held)))
 
 
 def _hits(words: Column, own: list[str]) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from reqloom.contracts import require, require_unique
 from reqloom.functions import text as T
+from reqloom.functions.plan import once
+from reqloom.operators.ordering import numbered
 
 
 def reshape(df: DataFrame, rename: Mapping[str, str] = {}, drop: Sequence[str] = (), constants: Mapping[str, object] = {}) -> DataFrame:  # noqa: B006
@@ -50,14 +52,13 @@ def long_enough(df: DataFrame, column: str, chars: int, words: int) -> DataFrame
 def with_ids(df: DataFrame, order: str, column: str | None = None) -> DataFrame:
     """``post_id`` from a column (text, no nulls, unique) or numbered from 0 in order.
 
-    Numbering needs a total order, so it is one task's window: for tables whose
-    ids matter use a column.
+    ``order`` must be unique, so that the numbers are the same at any partitioning.
     """
     if column is not None:
         out = df.withColumn("post_id", F.col(column).cast("string"))
         return require_unique(require(out, {"post_id is there": F.col("post_id").isNotNull()}), ["post_id"])
-    place = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("post_id", F.format_string("post_%04d", place))
+    placed = numbered(df, [F.col(order)], "post_number")
+    return placed.withColumn("post_id", F.format_string("post_%04d", F.col("post_number") - 1)).drop("post_number")
 
 
 def first_columns(df: DataFrame, *columns: str) -> DataFrame:
@@ -90,7 +91,7 @@ def preprocess(
     the cleaned table; by default the function-word vote on the cleaned text.
     """
     df = keep_first(not_empty(df, text), text, order)
-    df = df.withColumn("message_raw", F.col(text)).withColumn(text, T.clean_text(F.col(text), unescape))
+    df = once(df.withColumn("message_raw", F.col(text)), text, T.clean_text(F.col(text), unescape))
     if keep_language is not None:
         df = language_is(df, T.detect_language(F.col(text)) if language is None else language, keep_language)
     return long_enough(df, text, chars, words)

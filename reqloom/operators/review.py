@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from reqloom.contracts import ContractError, require, require_same_keys, require_unique
 from reqloom.functions import numeric as N
 from reqloom.functions import text as T
+from reqloom.functions.plan import once
+from reqloom.operators.ordering import numbered
 from reqloom.operators.topics import hash_order
+from reqloom.scratch import written
 
 RANKINGS = ("topico", "lexical", "topico_lexical", "aleatoria")
 TOP_RANKINGS = RANKINGS[:3]
@@ -64,9 +67,10 @@ def load_evidence(global_rows: DataFrame, local_rows: DataFrame, global_terms: D
 
 def score_lexicon(rows: DataFrame, lexicon: Mapping[str, Sequence[str]] = T.LEXICON, column: str = "sentence") -> DataFrame:
     """Adds lex_hit, lex_n (distinct patterns that occur) and intent_hint."""
-    counts = T.lexicon_counts(F.col(column), lexicon)
+    counted = once(rows, "lex_counts", F.struct(*(n.alias(kind) for kind, n in T.lexicon_counts(F.col(column), lexicon).items())))
+    counts = {kind: F.col(f"lex_counts.`{kind}`") for kind in lexicon}
     total = sum(counts.values(), F.lit(0))
-    return rows.withColumns({"lex_hit": total > 0, "lex_n": total.cast("int"), "intent_hint": T.lexicon_hint(counts)})
+    return counted.withColumns({"lex_hit": total > 0, "lex_n": total.cast("int"), "intent_hint": T.lexicon_hint(counts)}).drop("lex_counts")
 
 
 def signals(rows: DataFrame, *keys: str) -> DataFrame:
@@ -98,20 +102,6 @@ def rankings(evidence: DataFrame, seed: int = 42, check: bool = True) -> DataFra
     return out
 
 
-def numbered(rows: DataFrame, order: list[Column], into: str) -> DataFrame:
-    """Rows with their place (from 1) in a total order."""
-    sorted_rows = rows.orderBy(*order).withColumns({"part_no": F.spark_partition_id(), "in_part": F.monotonically_increasing_id()}).persist()
-    sizes = {r["part_no"]: r["n"] for r in sorted_rows.groupBy("part_no").agg(F.count("*").alias("n")).collect()}  # a row a partition
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part] = total
-        total += sizes[part]
-    moved = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("part_no")) if before else F.lit(0)
-    # monotonically_increasing_id counts within the partition below its 33rd bit
-    place = F.col("in_part").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + moved
-    return sorted_rows.withColumn(into, place.cast("int")).drop("part_no", "in_part")
-
-
 def top_of_rankings(evidence: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(ranking, rank, sent_id) up to rank ``k`` in the three top rankings: bounded sorts, no full ranking."""
     rows = evidence.select("sent_id", "lex_hit", "lex_n", "topic_score")
@@ -138,7 +128,7 @@ def blind_sample(evidence: DataFrame, ranked: DataFrame, top_k: int = 50, n_rand
     chosen = top.groupBy("sent_id").agg(F.min_by("ranking", F.element_at(priority, F.col("ranking"))).alias("selection_source"))
     rest = ranked.where("ranking = 'aleatoria'").join(F.broadcast(chosen.select("sent_id")), "sent_id", "left_anti")  # at most 3 top_k rows
     drawn = rest.orderBy("rank").limit(n_random).select("sent_id", F.lit("aleatoria").alias("selection_source"))
-    selected = chosen.unionByName(drawn).persist()
+    selected = written(chosen.unionByName(drawn), "selected")
     if check:
         counts = {r["ranking"]: r["n"] for r in top.groupBy("ranking").agg(F.count("*").alias("n")).collect()}
         short = [name for name in TOP_RANKINGS if counts.get(name, 0) != top_k]

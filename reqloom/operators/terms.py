@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqloom.functions import text as T
+from reqloom.functions.plan import let
 
 STOP_WORDS = (*T.STOP_WORDS, *T.EXTRA_STOP_WORDS)
 #: Words whose lemma no rule makes.
@@ -33,17 +34,23 @@ def lemma(word: str, irregular: Mapping[str, str] = IRREGULAR) -> str:
 
 
 def term_rows(rows: DataFrame, key: str = "sent_id", text: str = "sentence", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(key, term, tf) of each row's words."""
-    words = rows.select(key, F.explode(T.tokens(F.col(text), stop_words)).alias("term"))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of each row's words; keys are unique, so a row counts its own words and nothing is shuffled."""
+    return _counted(rows, key, T.tokens(F.col(text), stop_words))
+
+
+def _counted(rows: DataFrame, key: str, words: Column) -> DataFrame:
+    """(key, term, tf) of an array of words: in the sorted array a word's count is the way to the next one's first place."""
+    counts = lambda held, kinds, first: F.transform(kinds, lambda t, i: F.struct(t.alias("term"), (F.coalesce(F.get(first, i + 1), F.size(held) + 1) - F.get(first, i)).cast("bigint").alias("tf")))
+    placed = lambda held, kinds: let(F.transform(kinds, lambda t: F.array_position(held, t)), lambda first: counts(held, kinds, first))
+    each = let(F.sort_array(words), lambda held: let(F.array_distinct(held), lambda kinds: placed(held, kinds)))
+    return rows.select(key, F.explode(each).alias("t")).select(key, "t.term", "t.tf")
 
 
 def lemma_rows(rows: DataFrame, key: str = "sent_id", text: str = "sentence", stop_words: Sequence[str] = STOP_WORDS, extra: Sequence[str] = (), lemmatize: Callable[[str], str] = lemma) -> DataFrame:
     """(key, term, tf) of each row's lemmas of more than two letters; stop words are dropped before and after."""
     stops = frozenset(stop_words) | frozenset(extra)
     as_lemmas = F.pandas_udf(lambda lists: lists.map(lambda words: [x for w in words if w not in stops and len(x := lemmatize(w)) > 2 and x not in stops]), "array<string>")
-    words = rows.select(key, F.explode(as_lemmas(T.tokens(F.col(text)))).alias("term"))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return _counted(rows, key, as_lemmas(T.tokens(F.col(text))))
 
 
 def vocabulary(terms: DataFrame, n_rows: int, min_df: int = 20, max_df: float = 0.5, max_features: int | None = 12_000) -> DataFrame:

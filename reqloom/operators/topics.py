@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from reqloom.functions import numeric as N
 from reqloom.functions import text as T
+from reqloom.functions.plan import once
 from reqloom.operators import nmf, terms
 
 
 def assign(weighed: DataFrame, column: str = "weights") -> DataFrame:
     """Adds ``topic_id`` (the first heaviest, -1 without weight) and ``topic_weight``."""
-    topic = N.dominant(F.col(column))
-    return weighed.withColumn("topic_id", topic).withColumn("topic_weight", F.when(F.col("topic_id") >= 0, F.get(F.col(column), F.col("topic_id"))).otherwise(F.lit(0.0)))
+    return once(weighed, "topic_id", N.dominant(F.col(column))).withColumn("topic_weight", F.when(F.col("topic_id") >= 0, F.get(F.col(column), F.col("topic_id"))).otherwise(F.lit(0.0)))
 
 
 def hash_order(seed: int, key: str) -> Column:
@@ -38,6 +38,20 @@ def examples(assigned: DataFrame, n: int = 5, by: str = "weight", seed: int = 42
     return ranked.select(topic, "place", "post_id", F.col("best.rank.sent_id").alias("sent_id"), F.col("best.weight").alias("weight"))
 
 
+def sizes(assigned: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """(topic_id, n_sentences, n_videos, pct_frases): a topic's sentences, its documents, and its share of all sentences in per cent.
+
+    Shares are of all rows, those of topic -1 too, which has no row itself.
+    ``topics`` (topic_id): also those that no sentence has.
+    """
+    total = assigned.agg(F.count("*").alias("of_all"))
+    each = assigned.where("topic_id >= 0").groupBy("topic_id").agg(F.count("*").alias("n_sentences"), F.countDistinct("post_id").alias("n_videos"))
+    if topics is not None:
+        each = topics.select("topic_id").join(each, "topic_id", "left").fillna(0, ["n_sentences", "n_videos"])
+    shares = each.crossJoin(F.broadcast(total))  # one row
+    return shares.select("topic_id", "n_sentences", "n_videos", F.when(F.col("of_all") > 0, F.round(100 * F.col("n_sentences") / F.col("of_all"), 1)).alias("pct_frases"))
+
+
 def top_terms(weights: DataFrame, n: int = 20) -> DataFrame:
     """(topic_id, top_terms): the heaviest terms of (topic_id, term, weight), joined by commas; ties by term."""
     place = Window.partitionBy("topic_id").orderBy(F.desc("weight"), "term")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reqloom import contracts
 from reqloom.functions import numeric as N
 from reqloom.functions import text as T
 from reqloom.operators import ingest, preprocess, reports, review, sentences, sentiment, terms, topics
 from reqloom.plans import adapt
 from reqloom.plans import sql as S
+from reqloom.scratch import scratch_path, written
 from reqloom.sources import files, schemas
 
 QUERIES: dict = {}
@@ -96,6 +100,70 @@ def portuguese_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt.table(spark, sf_dir, "documents").select("doc_id", T.portuguese_words(F.col("text")).cast("bigint").alias("n_portuguese")).where("n_portuguese > 0")
 
 
+@query("SELECT doc_id, text, lang AS language, source, '2024' AS collected FROM documents")
+def reshape_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapt.table(spark, sf_dir, "documents")
+    out = preprocess.reshape(docs, {"lang": "language"}, ["n_chars", "never_there"], {"collected": "2024", "source": "not put over the column"})
+    return preprocess.first_columns(out, "language", "doc_id")
+
+
+@query("SELECT o_orderkey, printf('post_%04d', row_number() OVER (ORDER BY o_orderkey) - 1) AS post_id FROM orders")
+def numbered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.with_ids(adapt.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(f"WITH {S.CORPUS}, n AS (SELECT (SELECT count(*) FROM documents) AS n_before, (SELECT count(*) FROM corpus) AS n_after) SELECT n_before, n_after, n_before - n_after AS n_removed, round((n_before - n_after) / n_before, 6) AS frac_removed FROM n")
+def preprocess_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.reduction(adapt.documents(spark, sf_dir), adapt.corpus(spark, sf_dir)).withColumn("frac_removed", F.round("frac_removed", 6))
+
+
+@query("SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.duplicates(adapt.table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"])
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1)
+    SELECT coalesce(o.k, c.k) AS k, coalesce(c.n, 0) AS in_a, coalesce(o.n, 0) AS in_b FROM o FULL JOIN c ON o.k = c.k WHERE coalesce(c.n, 0) <> 1 OR coalesce(o.n, 0) <> 1"""
+)
+def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, orders = (adapt.table(spark, sf_dir, t) for t in ("customer", "orders"))
+    return contracts.key_differences(customers.select(F.col("c_custkey").alias("k")), orders.select(F.col("o_custkey").alias("k")), ["k"])
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "nation-csv")
+    files.write_csv(adapt.table(spark, sf_dir, "nation").repartition(3), path)
+    wanted = ["n_nationkey", "n_name", "n_regionkey", "never_there"]
+    back = files.read_csv_folder(spark, path, columns=wanted)
+    return back.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("bigint").alias("n_regionkey"))
+
+
+#: (case, text, what is to come of it) for functions whose cases the tables lack.
+ENTITIES = (("named", "&lt;b&gt; caf&eacute; &amp;amp;", "<b> café &amp;"), ("numbered", "it&#8217;s &#x41;", "it’s A"), ("no end", "a &amp b &notit;", "a & b ¬it;"), ("unknown", "&qqq; & so on", "&qqq; & so on"), ("none", "plain", "plain"))
+ASPECT_LISTS = (("mixed", " Bateria, tela ,foo,OUTRO", "bateria|tela|outro"), ("empty", "", ""), ("repeated", "audio,audio", "audio|audio"))
+PORTUGUESE_TEXTS = (("three", "Você não vai, MUITO obrigado", "3"), ("inside", "naonão muitos", "0"), ("one", "também", "1"))
+DISTRIBUTIONS = (("even", "[0.25,0.75]", "[0.25,0.75]"), ("one", "[1.0]", "[1.0]"), ("none", "[]", "[]"))
+CLOSE = (("equal", "1.0 1.0", "true"), ("within", "1.0 1.0000099", "true"), ("beyond", "1.0 1.0001", "false"), ("near zero", "0.0 0.0000009", "true"))
+_CASES = tuple((kind, *row) for kind, rows in (("entity", ENTITIES), ("aspects", ASPECT_LISTS), ("portuguese", PORTUGUESE_TEXTS), ("json", DISTRIBUTIONS), ("close", CLOSE)) for row in rows)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join((S.quoted(kind), S.quoted(case), S.quoted(out))) + ')' for kind, case, _, out in _CASES)}) v(kind, case_name, outcome)")
+def function_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = spark.createDataFrame([row[:3] for row in _CASES], "kind string, case_name string, text string")
+    text, pair = F.col("text"), F.transform(F.split("text", " "), lambda x: x.try_cast("double"))
+    outcome = {
+        "entity": T.unescape_html(text),
+        "aspects": F.array_join(T.aspects(text), "|"),
+        "portuguese": T.portuguese_words(text).cast("string"),
+        "json": F.to_json(F.from_json(text, "array<double>")),
+        "close": N.close_to(F.get(pair, F.lit(0)), F.get(pair, F.lit(1))).cast("string"),
+    }
+    parts = [cases.where(F.col("kind") == kind).select("kind", "case_name", x.alias("outcome")) for kind, x in outcome.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- sentences ------------------------------------------------------------------------------------
 
 
@@ -229,6 +297,13 @@ def bow_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.dictionary(terms.term_rows(rows), rows.count())
 
 
+@query(f"WITH {S.TERMS}, d AS (SELECT term FROM tf GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.5 * (SELECT count(*) FROM usable)) SELECT sent_id, term, tf AS n FROM tf JOIN d USING (term)")
+def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapt.usable(spark, sf_dir).persist()
+    held = terms.term_rows(rows)
+    return terms.bags(held, terms.dictionary(held, rows.count()))
+
+
 TOPIC_WORDS = {0: ["the", "and", "that"], 1: ["was", "with", "the"], 2: ["for", "this", "which"], -1: ["an", "of"], 3: ["is"]}
 _TOPIC_ROWS = ", ".join(f"({t}, {S.listed(w)})" for t, w in TOPIC_WORDS.items())
 
@@ -299,6 +374,26 @@ def random_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.examples(adapt.weighed(adapt.usable(spark, sf_dir)), by="random").select("topic_id", "place", "post_id", "sent_id")
 
 
+@query(
+    f"""WITH {S.WEIGHED}, t AS (SELECT topic_id, count(*) AS n_sentences, count(DISTINCT post_id) AS n_videos FROM weighed WHERE topic_id >= 0 GROUP BY topic_id)
+    SELECT CAST(topic_id AS INT) AS topic_id, n_sentences, n_videos, round(100.0 * n_sentences / (SELECT count(*) FROM weighed), 1) AS pct_frases FROM t"""
+)
+def topic_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.sizes(written(adapt.weighed(adapt.usable(spark, sf_dir)), "weighed"))
+
+
+@query(
+    f"""WITH {S.WEIGHED}, s AS (SELECT *, CAST(100 * topic_id + local_topic_id AS INT) AS subtopic FROM weighed WHERE topic_id IN (0, 2, 3) AND local_topic_id >= 0),
+    best AS (SELECT *, row_number() OVER (PARTITION BY subtopic, post_id ORDER BY local_topic_weight DESC, sent_id) AS k FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY subtopic ORDER BY local_topic_weight DESC, sent_id) AS place FROM best WHERE k = 1)
+    SELECT subtopic, CAST(place AS INT) AS place, post_id, sent_id FROM r WHERE place <= 3"""
+)
+def subtopic_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapt.weighed(adapt.usable(spark, sf_dir)).where("topic_id in (0, 2, 3) and local_topic_id >= 0")
+    rows = rows.select("sent_id", "post_id", (100 * F.col("topic_id") + F.col("local_topic_id")).cast("int").alias("subtopic"), F.array_max("local_topic_distribution").alias("local_weight"))
+    return topics.examples(rows, 3, topic="subtopic", weight="local_weight").select("subtopic", "place", "post_id", "sent_id")
+
+
 @query(
     f"""WITH {S.TERMS}, w AS (SELECT CAST(length(term) % 3 AS INT) AS topic_id, term, sum(tf) AS weight FROM tf GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, term) AS place FROM w)
@@ -351,18 +446,19 @@ def lexicon_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.EVIDENCE} SELECT sent_id, CAST(global_topic_id AS INT) AS global_topic_id, CAST(local_topic_id AS INT) AS local_topic_id, round(local_topic_weight, 6) AS local_topic_weight, CASE WHEN local_topic_id >= 0 THEN 'local ' || global_topic_id || ' ' || local_topic_id END AS local_top_terms, 'global ' || global_topic_id AS global_top_terms, round(topic_score, 6) AS topic_score FROM evidence")
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapt.evidence(spark, sf_dir)
+    rows = adapt.evidence(spark, sf_dir, check=True)
     return rows.select("sent_id", "global_topic_id", "local_topic_id", F.round("local_topic_weight", 6).alias("local_topic_weight"), "local_top_terms", "global_top_terms", F.round("topic_score", 6).alias("topic_score"))
 
 
 @query(f"WITH {S.RANKED} SELECT ranking, CAST(rank AS INT) AS rank, sent_id FROM ranked")
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.rankings(adapt.evidence(spark, sf_dir).persist(), check=False)
+    return review.rankings(written(adapt.evidence(spark, sf_dir), "evidence"), check=False)
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = adapt.evidence(spark, sf_dir).persist()
-    return review.blind_sample(rows, review.rankings(rows, check=False).persist(), check=False)
+    rows = written(adapt.evidence(spark, sf_dir), "evidence")
+    blind, origin = review.blind_sample(rows, written(review.rankings(rows, check=False), "rankings"), check=False)
+    return blind, written(origin, "origin")
 
 
 @query(f"WITH {S.SAMPLED} SELECT CAST(review_id AS INT) AS review_id, sentence, context, product_category, CAST(NULL AS VARCHAR) AS requirement_candidate, CAST(NULL AS VARCHAR) AS aspect_ref, CAST(NULL AS VARCHAR) AS review_notes FROM origin")
@@ -386,14 +482,14 @@ def blind_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT ranking, n, positives, round(p, 6) AS precision, round(mid - half, 6) AS ci_low, round(mid + half, 6) AS ci_high FROM h"""
 )
 def precision_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    origin = _sample(spark, sf_dir)[1].persist()
+    origin = _sample(spark, sf_dir)[1]
     out = review.precision(adapt.annotations(spark, sf_dir, origin), origin, check=False)
     return out.select("ranking", "n", "positives", *(F.round(c, 6).alias(c) for c in ("precision", "ci_low", "ci_high")))
 
 
 @query(f"WITH {S.SAMPLED} SELECT CAST(global_topic_id AS INT) AS global_topic_id, CAST(local_topic_id AS INT) AS local_topic_id, count(*) AS n_reviewed, count_if(requirement_candidate = 'sim') AS n_sim FROM labelled GROUP BY 1, 2")
 def confirmed_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    origin = _sample(spark, sf_dir)[1].persist()
+    origin = _sample(spark, sf_dir)[1]
     return review.confirmed_by_topic(adapt.annotations(spark, sf_dir, origin), origin)
 
 
@@ -414,6 +510,10 @@ def category_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("global_topic_id", "n", *(F.round(k, 6).alias(k) for k in _KINDS))
 
 
+_SHARES = """c AS (SELECT {keys}, count(*) AS n, count_if(sentiment = 'Positiva') AS "Positiva", count_if(sentiment = 'Neutra') AS "Neutra", count_if(sentiment = 'Negativa') AS "Negativa" FROM {rows} GROUP BY 1),
+    f AS (SELECT *, round_even("Positiva" / n, 4) AS frac_positiva, round_even("Neutra" / n, 4) AS frac_neutra, round_even("Negativa" / n, 4) AS frac_negativa FROM c)
+    SELECT *, round_even(frac_positiva - frac_negativa, 4) AS saldo FROM f"""
+
 # --- sentiment and export -------------------------------------------------------------------------
 
 
@@ -423,12 +523,25 @@ def sentiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {S.WEIGHED}, {S.sentiment('weighed')} SELECT CAST(topic_id AS INT) AS topic_id, count(*) AS n, count_if(sentiment = 'Positiva') AS "Positiva",
-    count_if(sentiment = 'Neutra') AS "Neutra", count_if(sentiment = 'Negativa') AS "Negativa" FROM felt GROUP BY topic_id"""
+    f"""WITH {S.WEIGHED}, {S.sentiment('weighed')}, {_SHARES.format(keys='CAST(topic_id AS INT) AS topic_id', rows='felt')}"""
 )
 def topic_sentiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = sentiment.classify(adapt.weighed(adapt.usable(spark, sf_dir)))
-    return sentiment.summarise(scored, "topic_id").select("topic_id", "n", *N.SENTIMENT_LABELS)
+    return sentiment.summarise(scored, "topic_id")
+
+
+@query(f"""WITH {S.EVIDENCE}, {S.sentiment('evidence')}, {_SHARES.format(keys='lex_hit', rows='felt')}""")
+def evidence_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence with its sentences' sentiment, by cue."""
+    scored = sentiment.classify(adapt.corpus_sentences(spark, sf_dir)).select("sent_id", "sentiment", "score")
+    return sentiment.summarise(adapt.evidence(spark, sf_dir).join(scored, "sent_id", "left"), "lex_hit")
+
+
+@query(f"WITH {S.WEIGHED} SELECT sent_id, CAST(topic_id AS INT) AS topic_id, CASE topic_id WHEN 0 THEN 'the, and, that' WHEN 1 THEN 'was, with, the' WHEN 2 THEN 'for, this, which' WHEN 3 THEN 'is' END AS top_terms FROM weighed")
+def results_with_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignments with their topics' terms, as the export joins them; sentences without a topic stay."""
+    names = spark.createDataFrame([(t, ", ".join(w)) for t, w in TOPIC_WORDS.items() if t >= 0], "topic_id int, top_terms string")
+    return adapt.weighed(adapt.usable(spark, sf_dir)).select("sent_id", "topic_id").join(F.broadcast(names), "topic_id", "left").select("sent_id", "topic_id", "top_terms")
 
 
 @query(f"WITH {S.SENTENCES}, k AS (SELECT DISTINCT sha256(sentence) AS key FROM sent) SELECT key FROM k WHERE substr(key, 1, 1) >= '8'")

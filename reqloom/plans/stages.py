@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqloom.contracts import ContractError, require_count, require_unique
+from reqloom.functions import numeric as N
 from reqloom.operators import nmf, review, sentences, sentiment, terms, topics
 from reqloom.sources.runs import Run
 
@@ -30,11 +31,11 @@ def run_global_topics(
         weighed = rows.join(nmf.weights(matrix, h), "sent_id", "left").withColumn("weights", F.coalesce("weights", F.array_repeat(F.lit(0.0), k)))
         assigned = topics.assign(weighed).persist()
         words = spark.createDataFrame(nmf.topic_terms(h, listed, 20), "topic_id int, words array<string>, shares array<double>")
-        sizes = assigned.groupBy("topic_id").agg(F.count("*").alias("n_sentences"))
+        sizes = topics.sizes(assigned, words)
         run = Run.begin(folder, f"nmf_global_k{k:02d}")
         run.write("nmf_results", assigned.select("sent_id", "post_id", "sentence", "context", "product_category", "topic_id", "topic_weight"))
         run.write("topic_weights", assigned.select("sent_id", "weights"))
-        run.write("topics", words.join(sizes, "topic_id", "left").select("topic_id", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), F.array_join("words", ", ").alias("top_terms")))
+        run.write("topics", words.join(sizes, "topic_id").select("topic_id", "n_sentences", "n_videos", "pct_frases", F.array_join("words", ", ").alias("top_terms")))
         run.write("strong_examples", topics.examples(assigned, seed=seed))
         run.write("random_examples", topics.examples(assigned, by="random", seed=seed))
         run.write("model", spark.createDataFrame([(t, [float(x) for x in row]) for t, row in enumerate(h)], "topic_id int, weights array<double>"))
@@ -111,7 +112,7 @@ def score_review(spark: SparkSession, run: Run, annotations: DataFrame) -> tuple
 
 
 def run_sentiment(spark: SparkSession, corpus: DataFrame, review_run: Run, folder: str | Path, classifier: sentiment.Classifier | None = None) -> Run:
-    """Sentiment of every sentence, and its summaries by source, category, topic, local topic and cue."""
+    """Sentiment of every sentence, and its summaries: of all sentences by source, of usable ones by category, of evidence by topic, local topic and cue."""
     scored = sentiment.classify(corpus, classifier).persist()
     evidence = review_run.read(spark, "evidence").select("sent_id", "global_topic_id", "local_topic_id", "lex_hit", "intent_hint", "topic_score")
     placed = evidence.join(scored.select("sent_id", "sentiment", "score"), "sent_id", "left").persist()
@@ -122,11 +123,14 @@ def run_sentiment(spark: SparkSession, corpus: DataFrame, review_run: Run, folde
     run.write("sentences_sentiment", scored)
     run.write("evidence_sentiment", placed)
     for name, rows, keys in (
-        ("summary_by_source", kept, ["source"]), ("summary_by_category", kept, ["product_category"]), ("summary_by_topic", placed, ["global_topic_id"]),
-        ("summary_by_local_topic", placed, ["global_topic_id", "local_topic_id"]), ("summary_by_cue", placed, ["intent_hint"]),
+        ("summary_by_source", scored, ["source"]), ("summary_by_category", kept, ["product_category"]), ("summary_by_topic", placed, ["global_topic_id"]),
+        ("summary_by_local_topic", placed, ["global_topic_id", "local_topic_id"]), ("summary_by_cue", placed, ["lex_hit"]),
     ):
         run.write(name, sentiment.summarise(rows, *keys))
-    run.finish({"review_run": str(review_run.path), "n_sentences": scored.count()})
+    spread = {name: {r["sentiment"]: r["n"] for r in rows.groupBy("sentiment").agg(F.count("*").alias("n")).collect()} for name, rows in (("distribution_all", scored), ("distribution_filtered", kept))}
+    spread = {name: {label: n.get(label, 0) for label in N.SENTIMENT_LABELS} for name, n in spread.items()}
+    texts = scored.agg(F.count("*").alias("n"), F.countDistinct("sentence").alias("kinds")).first()
+    run.finish({"review_run": str(review_run.path), "n_sentences": texts["n"], "n_unique_sentences": texts["kinds"], "n_filtered": kept.count(), "n_evidence": placed.count(), **spread})
     return run
 
 

@@ -35,14 +35,17 @@ def read_json_array(spark: SparkSession, path: str, ddl: str = schemas.RAW, stri
     return parse_json_array(spark.read.text(path, wholetext=True), "value", ddl)
 
 
-def read_csv_folder(spark: SparkSession, path: str, ddl: str | None = None, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read_csv_folder(spark: SparkSession, path: str, ddl: str | None = None, sep: str = ",", encoding: str = "UTF-8", columns: Sequence[str] | None = None) -> DataFrame:
     """All CSV files of a folder as one table, with ``row_file`` and ``row_order`` to restore file and row order.
 
+    ``columns``: only these, as far as they are there; the scan parses no others.
     Only empty cells are null: texts such as ``NA`` stay texts.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("encoding", encoding)
     reader = reader.option("quote", '"').option("escape", '"').option("nullValue", "").option("pathGlobFilter", "*.csv")
     df = (reader.schema(ddl) if ddl else reader).csv(path)
+    if columns is not None:
+        df = df.select(*(c for c in columns if c in df.columns))
     return df.withColumns({"row_file": F.col("_metadata.file_path"), "row_order": F.monotonically_increasing_id()})
 
 

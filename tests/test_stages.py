@@ -38,7 +38,13 @@ def test_all_stages(spark, tmp_path):
     assert {r.precision for r in scores.collect()} == {1.0}
     assert confirmed.agg(F.sum("n_sim")).first()[0] == origin.count()
     felt = stages.run_sentiment(spark, rows, run, tmp_path)
-    assert felt.read(spark, "summary_by_source").first().n == rows.where("not is_fragment and not is_dup_exact").count()
+    assert felt.read(spark, "summary_by_source").first().n == rows.count()
+    assert felt.read(spark, "summary_by_category").first().n == rows.where("not is_fragment and not is_dup_exact").count()
+    by_cue = {r.lex_hit: r.n for r in felt.read(spark, "summary_by_cue").collect()}
+    assert by_cue[True] == run.manifest()["n_lex_hit"] and sum(by_cue.values()) == run.manifest()["n_evidence"]
+    assert sum(felt.manifest()["distribution_all"].values()) == rows.count()
+    videos = {r.topic_id: (r.n_sentences, r.n_videos) for r in two.read(spark, "topics").collect()}
+    assert videos[chosen[0]] == (results.where(F.col("topic_id") == chosen[0]).count(), results.where(F.col("topic_id") == chosen[0]).select("post_id").distinct().count())
     out = stages.run_export(spark, rows, felt)
     assert out.count() == rows.count() and out.where("sentimento is null").count() == 0
     assert out.where("tema_selecionado").count() == results.where(F.col("topic_id").isin(chosen)).count()
