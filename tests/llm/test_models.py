@@ -70,7 +70,7 @@ def test_gradients():
         assert abs((high - low) / 2e-5 - found[name][at]) < 1e-6
 
 
-def slow_katz(train, texts, k=katz.K, min_count=katz.MIN_COUNT):
+def slow_katz(train, texts, k=katz.K):
     """Katz' bigram model as its definition reads: (scores, sums of probabilities after each history)."""
     tok = lambda t: [*(t or "").encode().lower().split(), None]
     uni, bi, hist = collections.Counter(), collections.Counter(), collections.Counter()
@@ -86,7 +86,7 @@ def slow_katz(train, texts, k=katz.K, min_count=katz.MIN_COUNT):
     mass = sum(d1.get(c, 1.0) * c for c in uni.values())
     whole = n if n - mass > 1e-9 * n else n + 1
     low = lambda w: d1.get(uni[w], 1.0) * uni[w] / whole if uni[w] else 1 - mass / whole
-    kept = {p: c for p, c in bi.items() if c >= min_count}
+    kept = bi
     after = collections.defaultdict(list)
     for (h, w), c in kept.items():
         after[h].append((w, c))
@@ -115,9 +115,11 @@ def test_katz(spark, monkeypatch):
     scores, sums = slow_katz(train, [t for _, t in rows])
     assert np.allclose(sums, 1)
     docs = table_of(spark, rows).repartition(3)
-    for top in (0, 25, 1 << 20):  # all keys asked for, some, none
-        model = katz.train(docs.where("doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 7) <> 2"))
-        found = katz.score(docs, model, top_words=top, top_pairs=top).collect()
+    monkeypatch.setattr(katz, "ASK_TOKENS", 200)
+    for top in (0, 25, 1 << 20):  # all words joined, some, none
+        model = katz.train(docs.where("doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 7) <> 2"), top_words=top)
+        assert (model.rare is None) == (top > 100)
+        found = katz.score(docs, model).collect()
         want = sorted((str(i), round(s, 6)) for (i, _), s in zip(rows, scores, strict=True))
         assert sorted((str(r.doc_id), round(r.score, 6)) for r in found) == want
     out = katz.language_model_scores(docs).collect()
