@@ -38,9 +38,9 @@ K = 7
 #: Words, at most, that go to every task.
 TOP_WORDS = 1 << 20
 #: Tokens that are counted, or asked for, together.
-BLOCK_TOKENS, ASK_TOKENS = 1 << 22, 1 << 20
+BLOCK_TOKENS, ASK_TOKENS = 3 << 20, 1 << 19
 #: Words a worker remembers at most, bigrams that are merged at a time, and stored documents to a partition of bigrams.
-REMEMBERED, MERGE_ROWS, PARTITION_BYTES = 400_000, 1 << 21, 8 << 20
+REMEMBERED, MERGE_ROWS, PARTITION_BYTES = 400_000, 1 << 20, 8 << 20
 #: A history with the N-th part of all tokens is dealt into up to SHARES / N shares, so that no task has all of a frequent word's bigrams.
 SHARES, MOST_SHARES = 4096, 1024
 
@@ -195,9 +195,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_part(words: Words, h: np.ndarray, w: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, rows) of bigrams, a part's rows sorted by (h, w)."""
+    """(part, rows) of bigrams; a part's rows keep their order."""
     part = words.parts(h, w, n)
-    order = np.lexsort((w, h, part))
+    order = np.argsort(part.astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")  # 16 bits are sorted by radix
     first = _starts(part[order])
     for lo, hi in zip(first, np.append(first[1:], len(order)), strict=True):
         yield int(part[order[lo]]), order[lo:hi]
@@ -211,11 +211,12 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], words: Words, n_parts: int)
 
     def block() -> pa.RecordBatch:
         tokens = np.concatenate(held)
-        pairs = (_before(np.cumsum([len(x) for x in held]), tokens, 1).astype(np.int64) << 32) | tokens
+        ids = words.ids(known.ids)
+        ordered, place = _in_order(ids)
+        pairs = (place[_before(np.cumsum([len(x) for x in held]), tokens, 1)] << 32) | place[tokens]
         pairs.sort()
         new = _starts(pairs)
-        ids = words.ids(known.ids)
-        h, w, n = ids[pairs[new] >> 32], ids[pairs[new] & 0xFFFFFFFF], np.diff(np.append(new, len(pairs)))
+        h, w, n = ordered[pairs[new] >> 32], ordered[pairs[new] & 0xFFFFFFFF], np.diff(np.append(new, len(pairs)))
         rows = [(part, pack_pairs(h[at], w[at], n[at])) for part, at in _by_part(words, h, w, n_parts)]
         return _rows(rows)
 
@@ -232,6 +233,14 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], words: Words, n_parts: int)
         yield block()
 
 
+def _in_order(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids sorted, each id's place there): pairs of places sort as pairs of ids do."""
+    order = np.argsort(ids)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    return ids[order], place
+
+
 def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     parts, packed = zip(*rows, strict=True) if rows else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
@@ -359,7 +368,8 @@ def train(docs: DataFrame, text_col: str = "text", k: int = K, top_words: int =
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(text_col).alias("text"))
-    counted = written(texts.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("c")), "words")
+    counted, counted_path = written_at(texts.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("c")), "words")
+    free_shuffles(spark)
     facts = counted.agg(F.sum("c").alias("N"), F.count("*").alias("V"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, k + 2)), F.max(F.when(F.col("w") == END, F.col("c"))).alias("texts")).first()
     tokens, types = int(facts["N"] or 0), facts["V"]
     d1 = discounts({r: facts[f"n{r}"] for r in range(1, k + 2)}, k)
@@ -385,9 +395,12 @@ def train(docs: DataFrame, text_col: str = "text", k: int = K, top_words: int =
     rare_words = counted.where(F.col("c") < least).select(far.alias("of"), F.col("c").alias("count"), (_discounted("c", d1) / float(max(whole, 1))).alias("p"))
     has_rare = types > words.begin
     if has_rare:
-        masses = written(masses, "masses").join(rare_words, F.col("w") == F.col("of"), "left").withColumn("below", F.coalesce("below", "p"))
+        masses, masses_path = written_at(masses, "masses")
+        masses = masses.join(rare_words, F.col("w") == F.col("of"), "left").withColumn("below", F.coalesce("below", "p"))
     left = masses.groupBy("h").agg(F.sum("taken").alias("taken"), F.sum("below").alias("below"))
-    left = written(left, "histories") if has_rare else left
+    if has_rare:
+        left, left_path = written_at(left, "histories")
+        delete_path(spark, masses_path)
     own = left.where(F.col("h").between(0, words.begin)).toArrow()  # at most top_words + 1 rows
     h = own.column("h").to_numpy()
     model.den, model.alpha = np.ones(words.begin + 1), np.ones(words.begin + 1)
@@ -404,6 +417,8 @@ def train(docs: DataFrame, text_col: str = "text", k: int = K, top_words: int =
         both = by_w.join(model.rare.select(F.col("w").alias("of_h"), (F.col("den") * F.col("alpha")).alias("weight_h")), F.col("h") == F.col("of_h"), "left")
         gain = F.log10(F.col("dc") / (F.coalesce("p", "p_w") * F.coalesce("weight", "weight_h")))
         model.rare_pairs = written(both.select("h", "w", gain.alias("gain")), "rare-bigrams")
+        delete_path(spark, left_path)
+    delete_path(spark, counted_path)
     free_shuffles(spark)
     return model
 
@@ -492,14 +507,15 @@ def _asking(batches: Iterator[pa.RecordBatch], model: Model, has_rare: bool) ->
         ]
         rows = [_row(number % model.n_parts, OWN, number, pack(own))]
         if has_rare and len(odd := np.flatnonzero(~here[tokens])):
-            rows.append(_row(0, RARE, number, pack([ids[tokens[odd]], text[odd]])))
+            rows.append(_row(number % model.n_parts, RARE, number, pack([ids[tokens[odd]], text[odd]])))
         may = np.flatnonzero(here[tokens] & here[before]) if not has_rare else np.arange(len(tokens))
-        pairs = (before[may].astype(np.int64) << 32) | tokens[may]
+        ordered, place = _in_order(ids)
+        pairs = (place[before[may]] << 32) | place[tokens[may]]
         order = np.argsort(pairs, kind="stable")
         pairs, of = pairs[order], text[may][order]
         new = _starts(pairs)
         n = np.diff(np.append(new, len(pairs)))
-        h, w = ids[pairs[new] >> 32], ids[pairs[new] & 0xFFFFFFFF]
+        h, w = ordered[pairs[new] >> 32], ordered[pairs[new] & 0xFFFFFFFF]
         for part, at in _by_part(words, h, w, model.n_parts):
             many = n[at]
             places = np.repeat(new[at] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
@@ -522,7 +538,7 @@ def _asking(batches: Iterator[pa.RecordBatch], model: Model, has_rare: bool) ->
 
 
 def _answering(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part and kind: a part's bigrams come first, then OWN rows, which pass, and ASKED ones, which become ANSWER rows (texts, sums)."""
+    """Rows sorted by part and kind: a part's bigrams come first, then OWN rows, which pass as RARE ones do, and ASKED ones, which become ANSWER rows (texts, sums)."""
     part, keys, gains, odd = None, [np.zeros(0, np.int64)], [np.zeros(0)], {}
     place = model.words.begin + 1
     for batch in batches:
@@ -530,7 +546,7 @@ def _answering(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
         for of, kind, block, packed in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
             if of != part:
                 part, keys, gains, odd = of, [np.zeros(0, np.int64)], [np.zeros(0)], {}
-            if kind == OWN:
+            if kind in (OWN, RARE):
                 rows.append(_row(of, kind, block, packed.as_py()))
             elif kind == GAINS:
                 h, w, gain = unpack_pairs(packed.as_py())
@@ -615,6 +631,8 @@ def _gain_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
     for batch in batches:
         if batch.num_rows:
             h, w, gain = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            order = np.lexsort((w, h))
+            h, w, gain = h[order], w[order], gain[order]
             yield _packed_rows([_row(part, GAINS, -1, pack_pairs(h[at], w[at], gain[at].view(np.int64))) for part, at in _by_part(model.words, h, w, model.n_parts)])
 
 
@@ -628,16 +646,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     asked = rows.mapInArrow(lambda b: _asking(b, held.value, has_rare), _PACKED)
     stored = model.packed.select("part", F.lit(COUNTS).alias("kind"), F.lit(-1).cast("long").alias("block"), "packed")
     if has_rare:
-        asked = written(asked, "asked")
-        gains = model.rare_pairs.mapInArrow(lambda b: _gain_rows(b, held.value), _PACKED)
-        each = asked.where(F.col("kind") == RARE).mapInArrow(_rare_asked, "asked long, block long, text long").join(model.rare, F.col("asked") == F.col("w"))
-        worth = F.log10("p") - model.unknown + F.log10("alpha")
-        summed = each.groupBy("block", "text").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 1.0)).alias("base"), F.sum(worth).alias("score"))
-        rare = summed.mapInArrow(_rare_answered, _PACKED)
-        stored, asked = stored.unionByName(gains), asked.where(F.col("kind") != RARE)
+        stored = stored.unionByName(model.rare_pairs.mapInArrow(lambda b: _gain_rows(b, held.value), _PACKED))
     dealt = stored.unionByName(asked).repartitionById(model.n_parts, F.col("part")).sortWithinPartitions("part", "kind", "block")
     answers = dealt.mapInArrow(lambda b: _answering(b, held.value), _PACKED)
-    answers = answers.unionByName(rare) if has_rare else answers
+    if has_rare:
+        answers = written(answers, "answers")
+        free_shuffles(spark)
+        each = answers.where(F.col("kind") == RARE).mapInArrow(_rare_asked, "asked long, block long, text long").join(model.rare, F.col("asked") == F.col("w"))
+        worth = F.log10("p") - model.unknown + F.log10("alpha")
+        summed = each.groupBy("block", "text").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 1.0)).alias("base"), F.sum(worth).alias("score"))
+        answers = answers.where(F.col("kind") != RARE).unionByName(summed.mapInArrow(_rare_answered, _PACKED))
     return answers.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_finished, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
