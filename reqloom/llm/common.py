@@ -1,18 +1,9 @@
-"""Shared pieces of the training-data operators: scratch tables, shipping, small helpers.
-
-Scratch data goes to the folder named by ``spark.checkpoint.dir``, which every
-executor and the driver see. Only a session without that setting (tests, a
-notebook) gets a temporary folder of its own.
-"""
+"""Shared pieces of the training-data operators: scratch tables (of ``reqloom.scratch``), shipping, small helpers."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import time
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reqloom.scratch import clean_up, delete_path, scratch_path, shared_dir, written, written_at
 from reqloom.shipping import ship
 
 __all__ = ["ascii_lower", "clean_up", "crc_mod", "delete_path", "free_shuffles", "fresh_name", "if_few", "scratch_path", "shared_dir", "ship", "slices", "table", "written", "written_at"]
@@ -33,57 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; own temporary one only where none is set."""
-    context = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="reqloom-shared-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    context.setCheckpointDir(f"file://{folder}")
-    return f"file://{folder}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def _own_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/reqloom/{spark.sparkContext.applicationId}"
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Deletes all scratch tables of this application. Results that weren't written elsewhere can't be read afterwards."""
-    delete_path(spark, _own_folder(spark))
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: a durable cut of its lineage."""
-    return written_at(df, name, partition_by)[0]
-
-
-def written_at(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
-    """As :func:`written`, with the path, for those who delete it when it is used up."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def if_few(df: DataFrame) -> DataFrame:
     """A stored table of small rows, to be broadcast if it has at most BROADCAST_ROWS; else Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
