@@ -1,6 +1,8 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 20 or more key-like characters in a word. Its features
+A candidate is a run of 20 or more key-like characters in a word, or, right after
+a key word and an assignment (``password = ...``), a value of 8 or more characters
+of any kind but white space, quotes, brackets, commas and semicolons. Its features
 are its length, its transitions between character classes, how much of it a
 dictionary covers, and what its path and its neighbouring words say. The forest
 is trained from labelled findings (``labelled_findings`` makes a set of them by
@@ -24,6 +26,8 @@ LEAST = 20
 CLASS = "A-Za-z0-9+/_=-"
 CANDIDATE = f"(?<![{CLASS}])[{CLASS}]{{{LEAST},}}"
 NEIGHBOURS = 3
+#: Characters of a shorter candidate, of what a key word's name goes on with, and of the text before a word that the two can reach.
+SHORT_LEAST, NAME_MOST, AHEAD = 8, 40, 100
 TREES, DEPTH, SEED = 24, 8, 7
 #: Labelled findings that the generator makes.
 FINDINGS = 4000
@@ -40,7 +44,13 @@ DICTIONARY = (
 ).split()
 _PAIRS = "th he in er an re nd on en at ou ed ha to or it is hi es ng".split()
 
-_KEY_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|private|access.?key|client.?key|\bkey\b)"
+_KEY_NAMES = r"token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|private|access.?key|client.?key|\bkey\b"
+_KEY_WORDS = f"(?i)({_KEY_NAMES})"
+#: A key word's assignment and the value's first characters; in a word with those before it, the whole value up to the word's end.
+_ASSIGNED = f"(?i)(?:{_KEY_NAMES})[A-Za-z0-9_.-]{{0,{NAME_MOST}}}[\"'`\\]]{{0,3}}\\s?(?::=|=>|=|:)\\s?[\"'`]?"
+_VALUE = f"[^\\s\"'`,;<>()\\[\\]{{}}]{{{SHORT_LEAST},"
+SHORT_ANYWHERE = f"(?i)(?:{_KEY_NAMES})[A-Za-z0-9_.-]{{0,{NAME_MOST}}}[\"'`\\]]{{0,3}}\\s*(?::=|=>|=|:)"
+SHORT = f"{_ASSIGNED}({_VALUE}}}+)\\S*+\\z"
 _HASH_WORDS = r"(?i)(commit|sha1|sha256|sha-|md5|checksum|digest|revision|integrity|etag|hash|uuid|guid|base64)"
 _SAMPLE_WORDS = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|redacted|fake|test)"
 
@@ -97,22 +107,32 @@ def featured(findings: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(doc_id, word_index, nth, candidate, word, before, after, path) of every candidate in the whole texts."""
+    """(doc_id, word_index, nth, candidate, word, before, after, path) of every candidate in the whole texts.
+
+    A word's long candidates come first, then its shorter one, if it has one.
+    """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
+    rows = rows.where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(SHORT_ANYWHERE))
     rows = rows.select("doc_id", "path", F.explode(F.array(F.split("text", r"\s+"))).alias("w"))
-    marked = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: x["word"].rlike(CANDIDATE))
+    ahead = lambda i: F.right(F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)), F.lit(AHEAD))
+    short = lambda i, w: F.regexp_extract(F.concat(ahead(i), F.lit(" "), w), SHORT, 1)
+    placed = F.transform("w", lambda w, i: F.struct(i.alias("i"), w.alias("word"), short(i, w).alias("short")))
+    marked = F.filter(placed, lambda x: (x["short"] != "") | x["word"].rlike(CANDIDATE))
     around = F.transform(
         marked,
         lambda x: F.struct(
             x["i"].alias("i"),
             x["word"].alias("word"),
+            x["short"].alias("short"),
             F.array_join(F.slice(F.col("w"), F.greatest(x["i"] + 1 - NEIGHBOURS, F.lit(1)), F.least(x["i"], F.lit(NEIGHBOURS))), " ").alias("before"),
             F.array_join(F.slice(F.col("w"), x["i"] + 2, F.lit(NEIGHBOURS)), " ").alias("after"),
         ),
     )
     found = rows.select("doc_id", "path", F.explode(around).alias("x")).select("doc_id", "path", "x.*")
-    each = found.select("doc_id", "path", "i", "word", "before", "after", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("nth", "candidate"))
+    long = F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))
+    extra = F.when((F.col("short") != "") & ~F.col("short").rlike(CANDIDATE), F.array("short")).otherwise(F.array().cast("array<string>"))
+    each = found.select("doc_id", "path", "i", "word", "before", "after", F.posexplode(F.concat(long, extra)).alias("nth", "candidate"))
     return each.select("doc_id", F.col("i").cast("long").alias("word_index"), F.col("nth").cast("long"), "candidate", "word", "before", "after", "path")
 
 
@@ -143,6 +163,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         "prefix": _pick("pre", ["ghp_", "sk_live_", "glpat-", "xoxb-"]),
         "stand_in": F.concat(_pick("ex", ["EXAMPLE", "your_api_key_", "xxxxxxxxxxxx", "placeholder"]), F.lit("00000000000000")),
         "noun": _pick("noun", ["get", "user", "value", "image", "page", "file"]),
+        "symbol": _pick("symbol", ["&", "#", "!", "$", "@", "%", "*", "?"]),
+        "letters": F.regexp_replace(F.base64(F.unhex(digest("c"))), "[=/+]", "q"),
+        "blank": _pick("blank", ["required", "undefined", "expired", "disabled", "optional", "rejected", "internal", "anonymous"]),
     }
     rows = written(spark.range(0, n, 1, 1).select("id", *(c.alias(name) for name, c in parts.items())), "finding-parts")
     c = F.col
@@ -167,6 +190,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, c("dashed"), joined("prose", F.lit("id")), "any_path"),
         (0, F.concat_ws("-", "short_word", "long_word", "noun"), plain, "dull_path"),
         (0, F.rpad(F.lit("="), 24, "=-"), plain, "any_path"),
+        (1, F.substring("hexes", 1, 16), telling, "any_path"),
+        (1, F.concat(F.initcap("short_word"), F.substring("numbers", 1, 2), "symbol", F.substring("hexes", 1, 3)), telling, "any_path"),
+        (1, F.concat(F.substring("letters", 1, 5), "symbol", F.substring("letters", 9, 5), F.substring("numbers", 1, 2)), telling, "any_path"),
+        (1, F.concat(F.substring("letters", 1, 11), F.substring("numbers", 1, 1)), telling, "any_path"),
+        (0, F.concat("noun", "short_word"), telling, "any_path"),
+        (0, F.concat_ws("-", "blank", "noun"), telling, "any_path"),
+        (0, F.concat_ws(".", "noun", "short_word"), telling, "any_path"),
+        (0, F.concat(F.lit("$"), F.upper(F.concat_ws("_", "noun", "short_word"))), telling, "dull_path"),
+        (0, F.concat(F.lit("//"), "noun", "short_word", F.lit(".com")), telling, "any_path"),
+        (0, F.concat(F.lit("changeme"), F.substring("numbers", 1, 2)), telling, "dull_path"),
+        (0, F.lit("********"), telling, "any_path"),
     ]
     which = F.pmod("id", F.lit(len(kinds)))
     made = reduce(lambda so_far, x: so_far.when(which == x[0], F.struct(F.lit(float(x[1][0])).alias("label"), x[1][1].alias("candidate"), x[1][2].alias("before"), c(x[1][3]).alias("path"))), enumerate(kinds), F)
@@ -185,8 +219,9 @@ def secret_findings(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id"
     """(doc_id, word_index, nth, candidate, word, before, after, path, score, is_secret) for each candidate of ``docs``.
 
     Null and empty texts have no candidates; null paths count as empty, null ids
-    stay null. Repeated rows give repeated findings. An empty table gives an
-    empty one. Columns other than the three named aren't read. ``word_index``
+    stay null. Repeated rows give repeated findings; of equal candidates in one
+    text each is a finding. Texts of any length are read whole. An empty table
+    gives an empty one. Columns other than the three named aren't read. ``word_index``
     counts words cut at white space from 0, ``nth`` the candidates of a word.
     """
     model = fit_forest(findings)

@@ -161,6 +161,56 @@ def test_secrets(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def slow_candidates(text):
+    """(word_index, nth, candidate) by hand: words one by one, keys looked for from each place of the text before a value."""
+    words, out = re.split(r"[ \t\n\x0b\f\r]+", text or ""), []
+    key = re.compile(rf"(?:{secrets_scan._KEY_NAMES})[A-Za-z0-9_.-]{{0,40}}[\"'`\]]{{0,3}} ?(?::=|=>|=|:) ?[\"'`]?", re.I | re.A)
+    for i, word in enumerate(words):
+        found = re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", word)
+        context = (" ".join(words[max(0, i - 2) : i]))[-100:] + " " + word
+        for start in range(len(context)):
+            named = key.match(context, start)
+            value = named and re.match(r"[^ \"'`,;<>()\[\]{}]{8,}", context[named.end() :])
+            if value and " " not in context[named.end() :]:
+                if not re.search(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", value[0]):
+                    found.append(value[0])
+                break
+        out += [(i, nth, c) for nth, c in enumerate(found)]
+    return out
+
+
+SHORT_TEXTS = [
+    ('set password = "Tr0ub4dor&3x9" now', "Tr0ub4dor&3x9", True), ("api_key: 9f86d081884c7d65", "9f86d081884c7d65", True), ("DB_PASSWORD=hV7#kQ2!mZp9", "hV7#kQ2!mZp9", True),
+    ('{"client_secret": "q8Zr4LmT2x"}', "q8Zr4LmT2x", True), ("the password: undefined-value here", "undefined-value", False), ("secret = getuser", "getuser", None),
+    ("token: //imagething.com", "//imagething.com", False), ("PASSWORD=$GET_THINGTION", "$GET_THINGTION", False), ("pwd = ********", "********", False), ("hV7#kQ2!mZp9 alone", None, None),
+]
+
+
+def test_secrets_shorter_than_twenty(spark):
+    found = secrets_scan.secret_findings(table_of(spark, [(i, t) for i, (t, *_) in enumerate(SHORT_TEXTS)]), secrets_scan.labelled_findings(spark))
+    got = {r.doc_id: (r.candidate, r.is_secret) for r in found.collect()}
+    assert got == {i: (c, secret) for i, (_, c, secret) in enumerate(SHORT_TEXTS) if secret is not None}
+
+
+def test_secret_candidates_by_brute_force(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "source")
+    extra = [*(t for t, *_ in SHORT_TEXTS), None, "", "key" * 40 + "=" + "x1" * 6, "passw" * 3000 + "=", "token\n=\n'abcdefgh12' token=> ABCDEFGH", "auth:" + "%" * 70_000, "a=b " * 9 + "pwd:=12345678 pwd:1234567"]
+    every = docs.union(spark.createDataFrame([(-i - 1, t, "s") for i, t in enumerate(extra)], docs.schema)).persist()
+    got = collections.defaultdict(list)
+    for r in secrets_scan.candidates(every).collect():
+        got[r.doc_id].append((r.word_index, r.nth, r.candidate))
+    texts = {r.doc_id: r.text for r in every.collect()}
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, t in texts.items() if (v := slow_candidates(t))}
+
+
+def test_secrets_planted_in_the_tables(spark, tables):
+    """Every 40-digit value behind ``token =`` is found, and next to nothing else."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    planted = {r.doc_id for r in docs.collect() if re.search(r'token = "[0-9a-f]{40}"', r.text or "")}
+    said = {r.doc_id for r in secrets_scan.op5_secrets(spark, tables).where("is_secret").collect()}
+    assert planted <= said and len(said - planted) <= 1 + len(planted) // 20
+
+
 def test_secrets_forest_on_held_out_findings(spark):
     every = secrets_scan.labelled_findings(spark, 4000).persist()
     model = secrets_scan.fit_forest(every.where("pmod(xxhash64(candidate), 4) <> 0"))
