@@ -113,7 +113,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(SHORT_ANYWHERE))
+    assigning = F.col("text").contains("=") | F.col("text").contains(":")
+    rows = rows.where(F.col("text").rlike(CANDIDATE) | (assigning & F.col("text").rlike(SHORT_ANYWHERE)))
     rows = rows.select("doc_id", "path", F.explode(F.array(F.split("text", r"\s+"))).alias("w"))
     ahead = lambda i: F.right(F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)), F.lit(AHEAD))
     short = lambda i, w: F.regexp_extract(F.concat(ahead(i), F.lit(" "), w), SHORT, 1)
