@@ -62,6 +62,21 @@ def test_cascade_has_levels_and_is_exact(spark, monkeypatch):
     assert [k for k in universe if k in cascade] == universe[::5]
 
 
+def test_a_long_list_is_split(spark, monkeypatch):
+    """With filters of a few keys the list falls into parts; verdicts stay those of brute force."""
+    monkeypatch.setattr(url_filter, "MAX_FILTER_BYTES", 16)
+    listed = [*url_filter.RULES, *(("block" if i % 3 else "allow", f"h{i}.com", "/en/" if i % 2 else "/") for i in range(24))]
+    urls = [*URLS, *(f"http://w.h{i}.com/en/x{'y' * (4000 * (i == 7))}" for i in range(30))]
+    rules = spark.createDataFrame(listed, "verdict string, host string, path string")
+    parts = []
+    split = url_filter.cascades_by_part
+    monkeypatch.setattr(url_filter, "cascades_by_part", lambda *a: (parts.append(x[1]) or x for x in split(*a)))
+    found = url_filter.filter_urls(pages(spark, urls), rules)
+    want = collections.Counter((i if u else None, *judged(u, listed)) for i, u in enumerate(urls))
+    assert collections.Counter(map(tuple, found.collect())) == want
+    assert max(parts) > 1
+
+
 def round_trips(rows):
     last = {}
     for i, _, html in rows:
