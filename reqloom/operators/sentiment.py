@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reqloom.contracts import ContractError, require_columns
 from reqloom.functions import numeric as N
 from reqloom.functions import text as T
+from reqloom.scratch import delete_path, written_at
 from reqloom.sources.cache import KeyedCache
 
 #: A batch function: texts in, for each a list of {"label", "score"} out.
@@ -52,21 +53,33 @@ def _by_batches(texts: DataFrame, classifier: Classifier, batch: int) -> DataFra
     return ordered.select("key", "sentence").mapInPandas(run, "key string, scores array<struct<label:string,score:double>>")
 
 
-def classify(rows: DataFrame, classifier: Classifier | None = None, cache: KeyedCache | None = None, version: int = 0, column: str = "sentence", batch: int = 32) -> DataFrame:
+def classify(rows: DataFrame, classifier: Classifier | None = None, cache: KeyedCache | None = None, version: int = 0, column: str = "sentence", batch: int = 32, chunk: int = 2_000_000) -> DataFrame:
     """``rows`` with sentiment, score and the three scores.
 
-    Each distinct text is scored once, and only if the cache lacks it; new
-    scores are added to the cache. Without a classifier the cue words score.
-    Null counts as empty text.
+    Each distinct text is scored once, and only if the cache lacks it. A
+    classifier's new scores are added to the cache after every ``chunk`` texts or
+    so, so that an interrupted run goes on from there. Without a classifier the
+    cue words score. Null counts as empty text.
     """
     require_columns(rows, [column])
     keyed = rows.withColumn("text_key", F.sha2(F.coalesce(column, F.lit("")), 256))
     texts = keyed.groupBy(F.col("text_key").alias("key")).agg(F.first(F.coalesce(column, F.lit(""))).alias("sentence"))
-    missing = cache.missing(texts) if cache is not None else texts
-    scored = missing.select("key", lexicon_scores(F.col("sentence")).alias("scores")) if classifier is None else _by_batches(missing, classifier, batch)
-    record = scored.select("key", *(c.alias(name) for name, c in to_record(F.col("scores")).items()))
-    if cache is not None:
-        cache.put(record, version)
+
+    def record_of(missing: DataFrame) -> DataFrame:
+        scored = missing.select("key", lexicon_scores(F.col("sentence")).alias("scores")) if classifier is None else _by_batches(missing, classifier, batch)
+        return scored.select("key", *(c.alias(name) for name, c in to_record(F.col("scores")).items()))
+
+    if cache is None:
+        record = record_of(texts)
+    elif classifier is None:
+        cache.put(record_of(cache.missing(texts)), version)
+        record = cache.read()
+    else:
+        missing, path = written_at(cache.missing(texts), "missing-texts")
+        parts = -(-missing.count() // chunk)
+        for part in range(parts):
+            cache.put(record_of(missing.where(F.pmod(F.crc32("key"), F.lit(parts)) == part)), version)
+        delete_path(rows.sparkSession, path)
         record = cache.read()
     return keyed.join(record, keyed["text_key"] == record["key"], "left").drop("text_key", "key")
 

@@ -55,7 +55,7 @@ def run_local_topics(spark: SparkSession, global_run: Run, chosen: Sequence[int]
         require_count(results, expected, name="selected sentences")
     for topic in chosen:
         name = f"local_topic{topic:02d}"
-        if (global_run.path / f"{name}_done").exists():
+        if global_run.marked(name):
             continue
         rows = results.where(F.col("topic_id") == topic).withColumnsRenamed({"topic_id": "global_topic_id", "topic_weight": "global_topic_weight"}).persist()
         fitted = topics.local_grid(rows.select("sent_id", "global_topic_id", "sentence"), ks, seed, no_below=no_below, no_above=no_above, rounds=rounds).persist()
@@ -70,8 +70,8 @@ def run_local_topics(spark: SparkSession, global_run: Run, chosen: Sequence[int]
             ("nmf_results", rows.join(placed, "sent_id")),
             ("topics", words.select("global_topic_id", "topic_id", F.array_join("words", ", ").alias("top_terms"))),
         ):
-            table.write.mode("overwrite").parquet(f"file://{global_run.path.resolve()}/{name}_{part}.parquet")
-        (global_run.path / f"{name}_done").touch()
+            global_run.write(f"{name}_{part}", table, "overwrite")
+        global_run.mark(name)
         rows.unpersist()
 
 

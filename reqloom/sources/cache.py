@@ -21,7 +21,8 @@ class KeyedCache:
             return self.spark.createDataFrame([], self.ddl).drop("written")
         rows = self.spark.read.schema(self.ddl).parquet(self.path)
         values = [c for c in rows.columns if c not in ("key", "written")]
-        return rows.groupBy("key").agg(*(F.max_by(c, "written").alias(c) for c in values))
+        newest = rows.groupBy("key").agg(F.max(F.struct("written", *values)).alias("row"))  # one row's values, also where versions tie
+        return newest.select("key", *(F.col("row")[c].alias(c) for c in values))
 
     def missing(self, df: DataFrame, key: str = "key") -> DataFrame:
         """The rows of ``df`` whose key isn't kept."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
@@ -83,20 +81,6 @@ def settings_section(settings: Mapping, *keys: str) -> Mapping:
     return here
 
 
-def replace_file(path: str | Path, text: str) -> None:
-    """Writes a small driver-side file whole or not at all."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as out:
-            out.write(text)
-        os.replace(name, path)
-    except BaseException:
-        Path(name).unlink(missing_ok=True)
-        raise
-
-
 def drop_nested(df: DataFrame, column: str, fields: Sequence[str]) -> DataFrame:
     """``column`` (a struct) without ``fields``; those it lacks don't matter."""
     have = {f.name for f in df.schema[column].dataType.fields}

@@ -27,7 +27,7 @@ def fetch_metadata(records: DataFrame, fetch: Fetcher, delay: float = 0.0, resum
     as they are; ``limit`` is how many are fetched, in order of their urls.
     """
     wanted = pending(records, resume)
-    done = records.exceptAll(wanted) if resume else records.limit(0)
+    done = records.where(F.coalesce(F.col("metadata_status"), F.lit("")) == "ok") if resume else records.limit(0)
     if limit is not None:
         chosen = wanted.orderBy("url").limit(limit)
         done, wanted = done.unionByName(wanted.exceptAll(chosen)), chosen

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from reqloom.contracts import ContractError
-from reqloom.sources.files import replace_file
+from reqloom.sources import store
 
 _STAMP = re.compile(r"_(\d{8}_\d{6})(?:_\w+)?$")
 
@@ -24,40 +24,49 @@ def file_sha256(path: str | Path, block: int = 1 << 20) -> str:
     return digest.hexdigest()
 
 
-def latest(folder: str | Path, prefix: str) -> Path:
+def latest(folder: str | Path, prefix: str) -> str | Path:
     """The run of ``prefix`` with the newest stamp, by name. A word may follow the stamp."""
-    runs = [p for p in Path(folder).glob(f"{prefix}_*") if p.is_dir() and (m := _STAMP.search(p.name)) and p.name[: m.start()] == prefix]
+    runs = [n for n in store.folders(folder) if (m := _STAMP.search(n)) and n[: m.start()] == prefix]
     if not runs:
         raise FileNotFoundError(f"no run {prefix}_* in {folder}")
-    return max(runs, key=lambda p: (_STAMP.search(p.name)[1], p.name))
+    return store.place(f"{folder}/{max(runs, key=lambda n: (_STAMP.search(n)[1], n))}")
 
 
 class Run:
-    """A run's folder. Begun once, never overwritten; ``finish`` writes its manifest last."""
+    """A run's folder, local or in a store that all executors reach. Begun once, never overwritten; ``finish`` writes its manifest last."""
 
     def __init__(self, path: str | Path):
-        self.path = Path(path)
+        self.path = store.place(path)
 
     @classmethod
     def begin(cls, folder: str | Path, prefix: str, now: datetime | None = None) -> Run:
-        run = cls(Path(folder) / f"{prefix}_{now or datetime.now():%Y%m%d_%H%M%S}")
-        run.path.mkdir(parents=True, exist_ok=False)
+        run = cls(f"{folder}/{prefix}_{now or datetime.now():%Y%m%d_%H%M%S}")
+        store.make_folder(run.path)
         return run
 
-    def write(self, name: str, df: DataFrame) -> None:
-        df.write.parquet(f"file://{self.path.resolve()}/{name}.parquet")
+    def table(self, name: str) -> str:
+        return f"{store.uri(self.path)}/{name}.parquet"
+
+    def write(self, name: str, df: DataFrame, mode: str = "error") -> None:
+        df.write.mode(mode).parquet(self.table(name))
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"file://{self.path.resolve()}/{name}.parquet")
+        return spark.read.parquet(self.table(name))
+
+    def mark(self, name: str) -> None:
+        """Notes that a part of the run is done."""
+        store.write_text(f"{self.path}/{name}_done", "")
+
+    def marked(self, name: str) -> bool:
+        return store.exists(f"{self.path}/{name}_done")
 
     def finish(self, manifest: dict) -> None:
-        replace_file(self.path / "manifest.json", json.dumps(manifest, ensure_ascii=False, indent=2, sort_keys=True))
+        store.write_text(f"{self.path}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=2, sort_keys=True))
 
     def manifest(self) -> dict:
-        target = self.path / "manifest.json"
-        if not target.exists():
+        if not store.exists(f"{self.path}/manifest.json"):
             raise FileNotFoundError(f"{self.path} has no manifest: it isn't finished")
-        return json.loads(target.read_text(encoding="utf-8"))
+        return json.loads(store.read_text(f"{self.path}/manifest.json"))
 
     def source(self, key: str) -> Run:
         """The run that the manifest names under ``key``."""

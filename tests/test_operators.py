@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pandas as pd
 import pytest
@@ -20,6 +21,23 @@ def raw(**change):
     return record
 
 
+def test_runs_in_a_store(spark, tmp_path):
+    """Runs live in any folder Spark reaches, not only in the driver's."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./runs", f"file://{tmp_path}")
+    run = Run.begin("viewfs://store/runs", "nmf", datetime(2024, 1, 1))
+    run.write("t", spark.range(3))
+    assert not run.marked("t")
+    run.mark("t")
+    with pytest.raises(FileNotFoundError):
+        run.manifest()
+    run.finish({"from": run.path, "name": "é"})
+    found = Run(latest("viewfs://store/runs", "nmf"))
+    assert found.marked("t") and found.manifest()["name"] == "é" and found.source("from").read(spark, "t").count() == 3
+    assert (tmp_path / "nmf_20240101_000000" / "manifest.json").exists()
+    with pytest.raises(FileExistsError):
+        Run.begin("viewfs://store/runs", "nmf", datetime(2024, 1, 1))
+
+
 def records(spark, *rows):
     return files.parse_json_array(spark.createDataFrame([("\ufeffjunk" + json.dumps(rows),)], "value string"), "value")
 
@@ -77,8 +95,6 @@ def test_files(spark, tmp_path):
 
 
 def test_runs(spark, tmp_path):
-    from datetime import datetime
-
     old, new = Run.begin(tmp_path, "nmf", datetime(2024, 1, 1)), Run.begin(tmp_path, "nmf", datetime(2025, 1, 1))
     (tmp_path / "nmf_other").mkdir()
     new.write("t", spark.range(3))
@@ -238,6 +254,14 @@ def test_sentiment(spark, tmp_path):
     assert found == {"0": "Positiva", "1": "Negativa", "2": "Positiva", "3": "Negativa"}
     assert cache.read().count() == 3
     assert cache.missing(rows.select(F.sha2("sentence", 256).alias("key")).dropna()).count() == 0
+    small = KeyedCache(spark, f"file://{tmp_path}/small", sentiment.SCORES)
+    puts = []
+    small.put = lambda df, version, put=small.put: (puts.append(version), put(df, version))
+    assert {r.sent_id: r.sentiment for r in sentiment.classify(rows, classifier, small, chunk=1).collect()} == found and len(puts) == 3
+    tied = spark.createDataFrame([("k", "Neutra", 0.1), ("k", "Positiva", 0.0)], "key string, sentiment string, score double")
+    kept = KeyedCache(spark, f"file://{tmp_path}/tied", "sentiment STRING, score DOUBLE")
+    kept.put(tied, 1)
+    assert tuple(kept.read().first()) == ("k", "Positiva", 0.0)
     plain = {r.sent_id: r.sentiment for r in sentiment.classify(rows).collect()}
     assert plain == {"0": "Positiva", "1": "Negativa", "2": "Positiva", "3": "Neutra"}
     frame = spark.createDataFrame([("a", "Positiva"), ("a", "Negativa"), ("a", "Neutra"), ("b", "Negativa"), (None, "Neutra")], "k string, sentiment string")
