@@ -48,3 +48,28 @@ def test_all_stages(spark, tmp_path):
     out = stages.run_export(spark, rows, felt)
     assert out.count() == rows.count() and out.where("sentimento is null").count() == 0
     assert out.where("tema_selecionado").count() == results.where(F.col("topic_id").isin(chosen)).count()
+
+
+def test_commands(spark, tmp_path):
+    """The same chain from the shell, with settings from a file."""
+    from reqloom import cli
+    from reqloom.sources import files
+    from reqloom.sources.runs import Run, latest
+
+    rows = corpus(spark)
+    rows.write.parquet(f"{tmp_path}/sentences")
+    runs = ["--runs", f"{tmp_path}/runs"]
+    settings = tmp_path / "settings.yaml"
+    settings.write_text(f"topics:\n  runs: {tmp_path}/runs\n  min-df: 2\n  max-df: 0.9\n  rounds: 20\nunknown: {{}}\n")
+    table = ["--input", f"{tmp_path}/sentences"]
+    cli.main(["--settings", str(settings), "topics", *table, "--k", "2"])
+    cli.main(["local-topics", *runs, "--k", "2", "--topics", "0", "1", "--local-k", "2", "--rounds", "10", "--no-below", "2", "--no-above", "0.95"])
+    cli.main(["review", *runs, "--k", "2", "--topics", "0", "1", "--top-k", "5", "--n-random", "5"])
+    reviewed = Run(latest(f"{tmp_path}/runs", "review"))
+    labels = reviewed.read(spark, "sample_origin").select("review_id", F.lit("sim").alias("requirement_candidate"), F.lit("x").alias("note"))
+    files.write_csv(labels, f"{tmp_path}/labels")
+    cli.main(["score", *runs, "--input", f"{tmp_path}/labels"])
+    assert {r.precision for r in reviewed.read(spark, "precision").collect()} == {1.0}
+    cli.main(["summaries", *runs, *table])
+    cli.main(["export", *runs, *table, "--output", f"{tmp_path}/export"])
+    assert spark.read.parquet(f"{tmp_path}/export").count() == rows.count()
