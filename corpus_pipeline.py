@@ -33,7 +33,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each near-duplicate component, that with the least doc_id.
 
     Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or
-    more; all such pairs are found, at any Hamming distance of their SimHashes.
+    more. Pairs whose SimHashes meet in op1's balls are checked first; a join of
+    what they leave apart finds the other pairs, at any Hamming distance.
     """
     return drop_similar(docs)
 

@@ -13,8 +13,9 @@ as their parities do in bits, so a pair that differs in too many can't be
 similar. Whole sets are made and compared for the pairs that are left.
 
 A group of near copies has far more pairs than it needs to be connected. So
-buckets are read in rounds, from neighbours to all pairs, and a round compares
-only what isn't connected yet.
+the pairs that the caller found by other means (close SimHashes) are compared
+first, and then buckets are read in rounds, from neighbours to all pairs; a
+round compares only what isn't connected yet.
 """
 
 from __future__ import annotations
@@ -54,6 +55,16 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(_hash, parts), np.uint64, n).view(np.int64))
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit, the lowest first."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def set_simhash(found: np.ndarray) -> int:
+    """A set's SimHash, as a signed integer: a bit is 1 if set in over half the hashes."""
+    return int(np.packbits(bit_counts(found) * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def digest(found: np.ndarray) -> int:
     """One signed 64-bit number for a set."""
     return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
@@ -85,15 +96,18 @@ def _ordered(found: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], shingle: int, keys: np.ndarray, counts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """(doc_id, fp, n, prefix, parities) of each text: ``fp`` stands for its set of ``n`` shingles."""
+    """(doc_id, fp, simhash, n, prefix, parities) of each text: ``fp`` stands for its set of ``n`` shingles."""
     for batch in batches:
         for part in slices(batch, 1, 1 << 20):
             found = [shingle_set(x.as_py(), shingle) for x in part.column(1).cast(pa.binary())]
             prefixes = [_ordered(x, keys, counts)[: len(x) - math.ceil(least * len(x) - SLACK) + 1] for x in found]
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-            columns = [part.column(0), pa.array(map(digest, found), pa.int64()), pa.array(map(len, found), pa.int32()), held, pa.array(map(parities, found), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "prefix", "parities"])
+            columns = [
+                part.column(0), pa.array(map(digest, found), pa.int64()), pa.array(map(set_simhash, found), pa.int64()), pa.array(map(len, found), pa.int32()), held,
+                pa.array(map(parities, found), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "simhash", "n", "prefix", "parities"])
 
 
 def _listed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -103,7 +117,7 @@ def _listed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """A stored table (doc_id, fp, n, prefix, parities), one row for each row of ``docs``."""
+    """A stored table (doc_id, fp, simhash, n, prefix, parities), one row for each row of ``docs``."""
     spark = docs.sparkSession
     ship(spark)
     text = F.col(text_col).alias("text")
@@ -113,7 +127,7 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHIN
     order = np.argsort(keys)
     held = spark.sparkContext.broadcast((keys[order], counts[order]))
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
-    return written(pair.mapInArrow(lambda b: _keyed(b, shingle, *held.value, least), "doc_id long, fp long, n int, prefix array<long>, parities binary"), "shingle-prefixes")
+    return written(pair.mapInArrow(lambda b: _keyed(b, shingle, *held.value, least), "doc_id long, fp long, simhash long, n int, prefix array<long>, parities binary"), "shingle-prefixes")
 
 
 #: Bytes of a shingle's hash that sets are compared by: two sets of 10,000 meet by chance in one of 2,800,000 pairs.
@@ -217,11 +231,12 @@ def _pairs(batches: Iterator[pa.RecordBatch], nearest: int, furthest: int | None
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
-def set_links(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+def set_links(docs: DataFrame, keyed: DataFrame, close: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between distinct sets of ``docs`` that connect what a similarity of ``least`` connects.
 
-    ``keyed``: :func:`keyed_texts` of ``docs``. Whole sets are made again, and
-    stored, of those texts alone that a pair in question has.
+    ``keyed``: :func:`keyed_texts` of ``docs``. ``close``: pairs (a, b) of sets
+    to compare first; those of them that are similar are edges. Whole sets are
+    made again, and stored, of those texts alone that a pair in question has.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -232,14 +247,13 @@ def set_links(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, shi
     buckets, buckets_path = written_at(dealt.mapInArrow(_shared, "key long, n int, fp long, place int"), "shingle-buckets")
     free_shuffles(spark)
     row_id, found = F.col(id_col).cast("long"), None
-    for nearest, furthest in ROUNDS:
-        if found is None:
-            labelled = buckets.withColumn("root", F.col("fp"))
-        else:
+    for distances in (None, *ROUNDS):
+        if distances is not None:
             roots = written(components(found), "set-roots")
             labelled = buckets.join(if_few(roots), buckets["fp"] == roots["node"], "left").select("key", "n", "fp", "place", F.coalesce("root", "fp").alias("root"))
-        again = labelled.repartition("key").sortWithinPartitions("key", "n", "fp")
-        near = written(again.mapInArrow(lambda b, lo=nearest, hi=furthest: _pairs(b, lo, hi, least), "a long, b long").distinct(), "set-pairs")
+            again = labelled.repartition("key").sortWithinPartitions("key", "n", "fp")
+            close = again.mapInArrow(lambda b, d=distances: _pairs(b, *d, least), "a long, b long").distinct()
+        near = written(close, "set-pairs")
         if near.isEmpty():
             found = near if found is None else found
             continue

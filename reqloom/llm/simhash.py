@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reqloom.llm.common import fresh_name, if_few, ship, table, written
+from reqloom.llm.common import free_shuffles, fresh_name, if_few, ship, table, written
 from reqloom.llm.components import components
-from reqloom.llm.shingle_sets import digest, keyed_texts, set_links, shingle_set
+from reqloom.llm.shingle_sets import bit_counts, digest, keyed_texts, set_links, shingle_set
 
 RADIUS = 3
 BLOCKS = 4
@@ -64,7 +64,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     while left:
         part = min(left, 1 << 15)
         hashes = np.fromiter(map(_hash, (s for _, s in zip(range(part), shingles, strict=False))), dtype="<u8", count=part)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(part, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_counts(hashes)
         left -= part
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
 
@@ -281,12 +281,28 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """As :func:`drop_near_duplicates`, of components over pairs whose shingle sets have a Jaccard similarity of ``least`` or more."""
+    """As :func:`drop_near_duplicates`, of components over pairs whose shingle sets have a Jaccard similarity of ``least`` or more.
+
+    Candidates are first the sets whose SimHashes meet in balls of half the
+    radius, as there; an exact check follows. Similar sets whose SimHashes lie
+    further apart are found by an exact join of what isn't connected by then.
+    """
     keyed = keyed_texts(docs, id_col, text_col, shingle, least)
-    by_fp = _placed(_nodes(keyed), components(set_links(docs, keyed, id_col, text_col, shingle, least)))
+    by_fp = _placed(_nodes(keyed), components(set_links(docs, keyed, close_sets(keyed), id_col, text_col, shingle, least)))
     return _one_of_each(docs, id_col, text_col, keyed, by_fp, lambda x: digest(shingle_set(x, shingle)))
 
 
+def close_sets(keyed: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Pairs (a, b) of sets of :func:`keyed_texts` that connect all whose SimHashes are equal or linked within ``radius``."""
+    sets = written(keyed.groupBy("fp").agg(F.first("simhash").alias("simhash")), "set-simhashes")  # a set has one SimHash
+    first = written(sets.groupBy("simhash").agg(F.min("fp").alias("first")), "simhash-nodes")
+    near = written(links(first.select(F.col("simhash").alias("fp")), radius, blocks), "simhash-links")
+    free_shuffles(keyed.sparkSession)
+    a, b = (first.select(F.col("simhash").alias(f"at_{x}"), F.col("first").alias(x)) for x in "ab")
+    between = near.withColumnsRenamed({"a": "at_a", "b": "at_b"}).join(a, "at_a").join(b, "at_b").select("a", "b")
+    return between.unionByName(sets.join(first, "simhash").where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")))
+
+
 def _one_of_each(docs: DataFrame, id_col: str, text_col: str, fps: DataFrame, by_fp: DataFrame, to_key: Callable[[bytes | None], int]) -> DataFrame:
     fps, by_fp = fps.select("doc_id", "fp"), written(by_fp, "fingerprint-classes")
     placed = fps.join(by_fp, fps["fp"] == by_fp["of_fp"])

@@ -160,6 +160,47 @@ def test_similar_texts_drop_at_any_hamming_distance(spark):
     assert len(kept) < simhash.drop_near_duplicates(table_of(spark, rows, False)).count()
 
 
+def slow_set_simhash(found):
+    hashes = [xxhash.xxh64_intdigest(b" ".join(s), 42) for s in found]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def lightly_edited(rng, n):
+    """Texts and copies of theirs with some other words at the end."""
+    rows = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 150, 400]))]
+        rows += [" ".join(words), " ".join([*words[: -rng.randint(1, 4)], f"x{rng.randrange(5000)}"])]
+    return list(enumerate(rows))
+
+
+def test_stage_finds_close_simhashes_by_balls(spark, monkeypatch):
+    """Without the join's rounds just the similar sets within 3 bits are linked, by ball hashing; with them all are."""
+    rows = lightly_edited(random.Random(11), 40)
+    docs, sets = table_of(spark, rows, False), {i: slow_set(t) for i, t in rows}
+    marks = {i: slow_set_simhash(s) for i, s in sets.items()}
+    close = lambda a, b: (marks[a] ^ marks[b]).bit_count() <= 3 and slow_similar(sets[a], sets[b])
+    balls = sorted(set(slow_components(sets, close).values()))
+    every = sorted(set(slow_components(sets, lambda a, b: slow_similar(sets[a], sets[b])).values()))
+    assert len(every) < len(balls) < len(rows)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == every
+    monkeypatch.setattr(shingle_sets, "ROUNDS", ())
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == balls
+
+
+def test_close_pairs_are_checked(spark, monkeypatch):
+    """Pairs that are given are links only if their sets are similar."""
+    monkeypatch.setattr(shingle_sets, "ROUNDS", ())
+    docs = table_of(spark, lightly_edited(random.Random(12), 4), False)
+    keyed = shingle_sets.keyed_texts(docs, "doc_id", "text")
+    fps = {r.doc_id: r.fp for r in keyed.collect()}
+    sets = {fps[r.doc_id]: slow_set(r.text) for r in docs.collect()}
+    pairs = [(a, b) for a in sorted(sets) for b in sorted(sets) if a < b]
+    found = shingle_sets.set_links(docs, keyed, spark.createDataFrame(pairs, "a long, b long"), "doc_id", "text").collect()
+    similar = sorted(p for p in pairs if slow_similar(sets[p[0]], sets[p[1]]))
+    assert 0 < len(similar) < len(pairs) and sorted(map(tuple, found)) == similar
+
+
 def test_similar_keeps_one_of_each_messy(messy, messy_rows, nothing):
     sets = [slow_set(t) for _, t in messy_rows]
     root = slow_components(set(range(len(sets))), lambda a, b: slow_similar(sets[a], sets[b]))
