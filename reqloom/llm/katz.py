@@ -24,7 +24,9 @@ adds to its backed-off score.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,26 +52,25 @@ END, BEGIN = 1, 2
 COUNTS, GAINS, OWN, ASKED, ANSWER, RARE = range(6)
 
 
-class Vocabulary(dict):
+class Vocabulary(defaultdict):
     """Numbers words as they come: word -> small number; ``ids[number]`` is the word's 64-bit hash."""
 
     def __init__(self):
-        super().__init__()
-        self._ids = np.array([END, BEGIN, *[0] * 1022], np.int64)
-        self.n = 2
-
-    def __missing__(self, word: bytes) -> int:
-        number = self.n
-        if number == len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros(number, np.int64)])
-        self._ids[number] = xxhash.xxh64_intdigest(word) - (1 << 63)
-        self[word] = number
-        self.n += 1
-        return number
+        super().__init__(count(2).__next__)
+        self._ids = np.array([END, BEGIN], np.int64)
+
+    @property
+    def n(self) -> int:
+        return 2 + len(self)
 
     @property
     def ids(self) -> np.ndarray:
-        return self._ids[: self.n]
+        """Hashes of all words so far; those that came since the last call are made now."""
+        fresh = self.n - len(self._ids)
+        if fresh:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, islice(self, len(self) - fresh, None)), np.uint64, fresh)
+            self._ids = np.concatenate([self._ids, (hashes ^ np.uint64(1 << 63)).view(np.int64)])
+        return self._ids
 
     def numbers(self, text: bytes | None) -> np.ndarray:
         """The words' numbers, A-Z lower-cased, then 0 for the end."""
@@ -91,10 +92,17 @@ def _before(ends: np.ndarray, tokens: np.ndarray, begin: int) -> np.ndarray:
 _zstd = pa.Codec("zstd", compression_level=1)
 
 
+def _width(c: np.ndarray) -> int:
+    """Bytes, 1, 2, 4 or 8, that hold each number of a 64-bit column."""
+    most = max(-int(c.min()) - 1, int(c.max())) if len(c) else 0
+    return next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w - 1)
+
+
 def pack(columns: list[np.ndarray]) -> bytes:
-    """64-bit columns as one compressed value, their bytes by significance; columns may differ in length."""
-    parts = [np.array([len(columns), *map(len, columns)], np.int64).tobytes()]
-    parts += [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    """64-bit columns as one compressed value, each in as few bytes as hold its numbers, these by significance; columns may differ in length."""
+    widths = list(map(_width, columns))
+    parts = [np.array([len(columns), *map(len, columns), *widths], np.int64).tobytes()]
+    parts += [np.ascontiguousarray(c.astype(f"<i{w}")).view(np.uint8).reshape(-1, w).T.tobytes() for c, w in zip(columns, widths, strict=True)]
     raw = b"".join(parts)
     return len(raw).to_bytes(8, "little") + _zstd.compress(raw, asbytes=True)
 
@@ -102,11 +110,12 @@ def pack(columns: list[np.ndarray]) -> bytes:
 def unpack(packed: bytes) -> list[np.ndarray]:
     raw = _zstd.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), asbytes=True)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes = np.frombuffer(raw, np.int64, n, 8)
-    out, at = [], 8 * (n + 1)
-    for size in sizes.tolist():
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size).T).view(np.int64).ravel())
-        at += 8 * size
+    sizes, widths = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n).tolist()
+    out, at = [], 8 * (2 * n + 1)
+    for size, width in zip(sizes, widths, strict=True):
+        narrow = np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size).T).view(f"<i{width}").ravel()
+        out.append(narrow.astype(np.int64))
+        at += width * size
     return out
 
 

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import xxhash
 from llm_rows import table_of
 
 from reqloom.llm import katz, quality, secrets_scan
@@ -130,6 +131,21 @@ def test_katz(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
 
 
+def test_katz_packs_numbers_in_as_few_bytes_as_hold_them():
+    edges = np.array([0, 1, -1, 127, -128, 128, -129, 32767, -32768, 32768, -32769, (1 << 31) - 1, -(1 << 31), 1 << 31, -(1 << 31) - 1, (1 << 63) - 1, -(1 << 63)])
+    columns = [edges[:0], *(edges[:k] for k in range(1, len(edges) + 1)), np.array([0.1, -np.inf]).view(np.int64)]
+    assert all(a.dtype == np.int64 and np.array_equal(a, b) for a, b in zip(katz.unpack(katz.pack(columns)), columns, strict=True))
+    assert [katz._width(c) for c in (edges[:0], edges[:5], edges[:6], edges[:9], edges[:13], edges[:14], edges)] == [1, 1, 2, 2, 4, 8, 8]
+
+
+def test_katz_vocabulary():
+    words = katz.Vocabulary()
+    first = words.numbers(b"B a b ")
+    assert first.tolist() == [2, 3, 2, 0] and len(words.ids) == words.n == 4
+    assert words.numbers(b"c a").tolist() == [4, 3, 0] and words.numbers(None).tolist() == [0]
+    assert words.ids.tolist() == [katz.END, katz.BEGIN, *(xxhash.xxh64_intdigest(w) - (1 << 63) for w in (b"b", b"a", b"c"))]
+
+
 def test_katz_keeps_bigrams_seen_once(spark):
     docs = table_of(spark, [(1, "a b c"), (2, "a b d"), (3, "e")], False)
     assert sorted(r.c for r in katz.train(docs).bigrams.collect()) == [1, 1, 1, 1, 1, 1, 2, 2]
