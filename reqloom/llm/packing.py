@@ -40,8 +40,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Documents in a group, which one task packs; a group has at least LEAST_BINS sequences' worth of tokens, unless it is the only one.
 GROUP, LEAST_BINS = 4096, 4
-#: Pre-tokens a worker remembers at most, the longest it remembers, and bytes of text it works on at a time.
-REMEMBERED, LONGEST, SLICE_BYTES = 600_000, 64, 4 << 20
+#: Pre-tokens a worker remembers at most, the longest it remembers, and bytes of text it works on at a time (cut up they take some 15 times that).
+REMEMBERED, LONGEST, SLICE_BYTES = 300_000, 64, 1 << 20
 
 #: Unknown pre-tokens that are encoded in one call.
 JOINED = 256
@@ -115,8 +115,6 @@ class Encoder:
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
         known = self.known
         odd = [k for k, x in enumerate(texts) if "<|" in x and any(s in x for s in self.special)]
         whole = dict(zip(odd, self._one_by_one([texts[k] for k in odd]), strict=True))
@@ -128,6 +126,8 @@ class Encoder:
             for at in places:
                 own[at] = made[x[at]]
         known.update((part, own) for part, own in made.items() if len(part) <= LONGEST)
+        if len(known) > REMEMBERED:  # at once: a worker that waits for its next stage keeps what it has
+            self.known = {}
         return [whole[k] if k in whole else b"".join(own) for k, own in enumerate(ids)]
 
 

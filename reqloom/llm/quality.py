@@ -223,6 +223,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return AttentionModel(N_SHAPE + HASHED).fit(np.concatenate(x).astype(np.float64), of, y)
 
 
+def _scores(texts: pa.Array, model: AttentionModel | ConstantModel) -> pa.Array:
+    """Scores of a batch's texts, of which few are Python strings at a time."""
+    return pa.array([x for at in range(0, len(texts), 256) for x in model.predict(texts.slice(at, 256).to_pylist())], pa.float64())
+
+
 def _scored(batches: Iterator[pa.RecordBatch], model: AttentionModel | ConstantModel) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -256,7 +261,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, id_col, text_col))
     name = fresh_name(docs.columns, "quality_score")
-    score = F.pandas_udf(lambda texts: __import__("pandas").Series(held.value.predict(texts.tolist())), "double")
+    score = F.arrow_udf(lambda texts: _scores(texts, held.value), "double")
     return docs.withColumn(name, score(F.col(text_col))).where(F.col(name) >= 0.5).drop(name)
 
 

@@ -1,8 +1,10 @@
 import collections
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import TEXTS
 
@@ -95,6 +97,22 @@ def test_encoder_is_the_library():
     assert encoder.encoded(texts) == want
 
 
+def test_encoder_memory_is_bounded():
+    """Many different words, of which a worker remembers some, and texts that it cuts up a few at a time."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choices(letters, k=9)) for _ in range(2_500)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    path = tokens.vocabulary_path(packing.VOCABULARY)
+    packing._encoders[path] = packing.Encoder(path)
+    tracemalloc.start()
+    found = sum(part.num_rows for part in packing._pieces([batch], path, 1 << 20, 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(texts)
+    assert peak < 80e6, peak
+
+
 def pieces_of(rows, capacity):
     t = library(packing.VOCABULARY)
     for i, text in rows:
