@@ -1,7 +1,8 @@
 """Exact token counts by overlap resynchronisation.
 
 A document of more than ``chunk`` characters is encoded in overlapping chunks
-with offsets; a shorter one is a single chunk. Two neighbours are spliced at an
+with offsets; a shorter one is a single chunk, whose tokens are counted pre-token
+by pre-token (for a byte-level vocabulary), each counted by the library once. Two neighbours are spliced at an
 offset inside their overlap that is proven to be a token boundary of the whole
 text; the left one counts up to there, the right one from there.
 
@@ -25,7 +26,8 @@ import bisect
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -46,6 +48,16 @@ TOGETHER, TOGETHER_CHARS = 1000, 1 << 20
 _stable = re.compile(r"(?<=\S) (?=\S)")
 # The classes of a byte-level pre-token; a place between two classes is a border, but not blank to word nor apostrophe to letter.
 _border = regex.compile(r"(?<=[^\s])(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
+# The byte-level pre-tokens, with the classes spelt out for characters whose classes don't change between Unicode versions.
+_LATIN = [*range(0x250), *range(0x2000, 0x2065), *range(0x2066, 0x2070)]
+_class = lambda kind: "".join(f"\\u{i:04x}" for i in _LATIN if unicodedata.category(chr(i))[0] == kind)
+_L, _N, _S = _class("L"), _class("N"), _class("Z") + r"\t\n\x0b\f\r\x85"
+_parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+_unsure = re.compile(r"[^\x00-\u024f\u2000-\u2064\u2066-\u206f]").search
+#: Pre-tokens whose token counts a worker remembers at most, and the longest it remembers.
+REMEMBERED, LONGEST = 300_000, 64
+_known: dict[str, dict[str, int]] = {}
+_added_strings: dict[str, list[str]] = {}
 _open: dict[str, object] = {}
 _byte_level: dict[str, bool] = {}
 
@@ -86,7 +98,7 @@ def _is_byte_level(path: str) -> bool:
                 known = json.load(file)
         _byte_level[path] = (
             known is not None and known["normalizer"] is None and known["model"]["type"] == "BPE" and not known["model"].get("dropout") and not known["model"].get("ignore_merges")
-            and (known["pre_tokenizer"] or {}).get("type") == "ByteLevel" and known["pre_tokenizer"].get("use_regex", True)
+            and (known["pre_tokenizer"] or {}).get("type") == "ByteLevel" and known["pre_tokenizer"].get("use_regex", True) and not known["pre_tokenizer"].get("add_prefix_space", True)
         )
     return _byte_level[path]
 
@@ -100,7 +112,7 @@ def _added(path: str) -> frozenset[int]:
 
 
 #: A chunk's tokens: (ids, offsets at which they begin, offsets at which they end); ids and ends are None where they aren't used.
-Tokens = tuple[list[int] | None, list[int], list[int] | None]
+Tokens = tuple[Sequence[int] | None, Sequence[int], Sequence[int] | None]
 
 
 def encoded(path: str, text: str) -> Tokens:
@@ -111,14 +123,41 @@ def encoded(path: str, text: str) -> Tokens:
     offsets = found.offsets
     if not _is_byte_level(path):
         return None, [at for at, _ in offsets], None
-    return found.ids, [at for at, _ in offsets], [end for _, end in offsets]
+    starts, ends = zip(*offsets, strict=True) if offsets else ((), ())
+    return found.ids, starts, ends
+
+
+def _strings(path: str) -> list[str]:
+    """The strings that the vocabulary takes whole, wherever they stand."""
+    if path not in _added_strings:
+        _added_strings[path] = [t.content for t in _library(path).get_added_tokens_decoder().values()]
+    return _added_strings[path]
+
+
+def _sizes(path: str, parts: set[str]) -> dict[str, int]:
+    """Tokens of pre-tokens; each worker remembers those it has met."""
+    known = _known.setdefault(path, {})
+    out = {x: known[x] for x in parts if x in known}
+    new = list(parts.difference(out))
+    made = dict(zip(new, map(len, _library(path).encode_batch_fast(new, add_special_tokens=False)), strict=True))
+    out.update(made)
+    known.update((x, n) for x, n in made.items() if len(x) <= LONGEST)
+    if len(known) > REMEMBERED:
+        known.clear()
+    return out
 
 
 def count_plain(path: str, texts: list[str]) -> list[int]:
     library = _library(path)
     if path.endswith(".model"):
         return [len(x) for x in library.encode(texts, num_threads=1)]
-    return [len(x.ids) for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    if not _is_byte_level(path):
+        return [len(x) for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    odd = [any(s in x for s in _strings(path)) or _unsure(x) is not None for x in texts]
+    whole = iter([len(x) for x in library.encode_batch_fast([x for x, o in zip(texts, odd, strict=True) if o], add_special_tokens=False)])
+    cuts = [[] if o else _parts(x) for x, o in zip(texts, odd, strict=True)]
+    sizes = _sizes(path, set().union(*cuts))
+    return [next(whole) if o else sum(map(sizes.__getitem__, x)) for x, o in zip(cuts, odd, strict=True)]
 
 
 def _shared(left: Tokens, right: Tokens, offset: int, text: str, begin: int, end: int, special: frozenset[int]) -> int:

@@ -97,6 +97,29 @@ def test_encoder_is_the_library():
     assert encoder.encoded(texts) == want
 
 
+def test_short_texts_ask_the_library_for_each_word_once(monkeypatch):
+    rng = random.Random(3)
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    chars = [chr(i) for i in (*range(0x250), *range(0x2000, 0x2070))]
+    bits = [*chars, "word", "'s", "'ll", "''re", "  ", "\n\n ", " 12", "\u0345", "日本", "🙂", "<|endoftext|>", "<|x"]
+    texts = ["", *chars, *("a" + c + " " + c + c + "b" for c in chars), *("".join(rng.choice(bits) + rng.choice(["", " ", "a"]) for _ in range(n)) for n in (3, 20, 200) for _ in range(300))]
+    want = [len(x.ids) for x in library("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
+    assert tokens.count_plain(path, texts) == want
+    asked, opened = [], tokens._library(path)
+
+    class Spy:
+        def encode_batch_fast(self, some, **options):
+            asked.extend(some)
+            return opened.encode_batch_fast(some, **options)
+
+        def __getattr__(self, name):
+            return getattr(opened, name)
+
+    monkeypatch.setitem(tokens._open, path, Spy())
+    assert tokens.count_plain(path, ["plain words and plain words, é"] * 50) == [len(opened.encode("plain words and plain words, é").ids)] * 50
+    assert len(asked) <= 6
+
+
 def test_encoder_memory_is_bounded():
     """Many different words, of which a worker remembers some, and texts that it cuts up a few at a time."""
     rng = random.Random(9)
