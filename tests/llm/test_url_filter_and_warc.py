@@ -40,6 +40,16 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages(spark, URLS), rules.limit(0)).where("rule is not null or verdict <> 'allow'").count() == 0
 
 
+def test_registered_rules_say_what_the_contract_says(spark):
+    """The contract's list word by word, and a url under each rule."""
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{verdict} {host}{path}" for verdict, host, path in url_filter.RULES] == contract.split(", ")
+    urls = ["http://x.com/en/1", "http://example.com/en/7", "http://x.net/de/1", "http://example.net/de/8", "http://x.org/es/1", "http://x.net/fr/"]
+    rules = spark.createDataFrame(list(url_filter.RULES), "verdict string, host string, path string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages(spark, urls), rules).collect()}
+    assert [found[i] for i in range(6)] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow")]
+
+
 def test_cascade_has_levels_and_is_exact(spark, monkeypatch):
     """With tiny filters many levels are needed; membership over the universe stays exact."""
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)
