@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reqloom.contracts import ContractError, require_columns
 from reqloom.functions import numeric as N
 from reqloom.functions import text as T
+from reqloom.functions.plan import let, once
 from reqloom.scratch import delete_path, written_at
 from reqloom.sources.cache import KeyedCache
 
@@ -24,20 +25,23 @@ NEGATIVE = "bad poor terrible awful hate worst ugly slow cheap disappointing ann
 
 def lexicon_scores(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
     """(label, score) of the three labels by counts of cue words, each count and the neutral one plus one, summing to one."""
-    words = T.tokens(text)
-    n_pos = F.size(F.filter(words, lambda w: w.isin(list(positive))))
-    n_neg = F.size(F.filter(words, lambda w: w.isin(list(negative))))
-    base = F.lit(1.0) + n_pos * 2 + n_neg * 2 + 1
     entry = lambda label, x: F.struct(F.lit(label).alias("label"), x.alias("score"))
-    return F.array(entry("positive", (n_pos * 2 + 0.5) / base), entry("neutral", 1.0 / base), entry("negative", (n_neg * 2 + 0.5) / base))
+    hits = lambda words, cues: F.size(F.filter(words, lambda w: w.isin(list(cues))))
 
+    def scores(n: Column) -> Column:
+        base = F.lit(1.0) + n["pos"] * 2 + n["neg"] * 2 + 1
+        return F.array(entry("positive", (n["pos"] * 2 + 0.5) / base), entry("neutral", 1.0 / base), entry("negative", (n["neg"] * 2 + 0.5) / base))
 
-def to_record(scores: Column) -> dict[str, Column]:
-    """The columns of SCORES from (label, score) pairs; scores rounded half to even to four places, missing ones 0."""
+    counts = lambda words: F.struct(hits(words, positive).alias("pos"), hits(words, negative).alias("neg"))
+    return let(let(T.tokens(text), counts), scores)
+
+
+def to_record(scores: Column) -> Column:
+    """The columns of SCORES, as a struct, from (label, score) pairs; scores rounded half to even to four places, missing ones 0."""
     named = F.transform(scores, lambda s: F.struct(N.sentiment_label(s["label"]).alias("label"), F.bround(s["score"], 4).alias("score")))
-    best = N.best_label(named)
-    of = lambda label: F.coalesce(F.array_max(F.transform(F.filter(named, lambda s: s["label"] == label), lambda s: s["score"])), F.lit(0.0))
-    return {"sentiment": best["label"], "score": best["score"], **{f"score_{x.lower()}": of(x) for x in N.SENTIMENT_LABELS}}
+    of = lambda held, label: F.coalesce(F.array_max(F.transform(F.filter(held, lambda s: s["label"] == label), lambda s: s["score"])), F.lit(0.0))
+    whole = lambda held, best: F.struct(best["label"].alias("sentiment"), best["score"].alias("score"), *(of(held, x).alias(f"score_{x.lower()}") for x in N.SENTIMENT_LABELS))
+    return let(named, lambda held: let(N.best_label(held), lambda best: whole(held, best)))
 
 
 def _by_batches(texts: DataFrame, classifier: Classifier, batch: int) -> DataFrame:
@@ -59,15 +63,19 @@ def classify(rows: DataFrame, classifier: Classifier | None = None, cache: Keyed
     Each distinct text is scored once, and only if the cache lacks it. A
     classifier's new scores are added to the cache after every ``chunk`` texts or
     so, so that an interrupted run goes on from there. Without a classifier the
-    cue words score. Null counts as empty text.
+    cue words score; without a cache too, each row scores its own text, which
+    costs less than a shuffle to find equal ones. Null counts as empty text.
     """
     require_columns(rows, [column])
+    if classifier is None and cache is None:
+        scored = once(rows, "cue_record", to_record(lexicon_scores(F.coalesce(column, F.lit("")))))
+        return scored.select("*", "cue_record.*").drop("cue_record")
     keyed = rows.withColumn("text_key", F.sha2(F.coalesce(column, F.lit("")), 256))
     texts = keyed.groupBy(F.col("text_key").alias("key")).agg(F.first(F.coalesce(column, F.lit(""))).alias("sentence"))
 
     def record_of(missing: DataFrame) -> DataFrame:
         scored = missing.select("key", lexicon_scores(F.col("sentence")).alias("scores")) if classifier is None else _by_batches(missing, classifier, batch)
-        return scored.select("key", *(c.alias(name) for name, c in to_record(F.col("scores")).items()))
+        return once(scored, "record", to_record(F.col("scores"))).select("key", "record.*")
 
     if cache is None:
         record = record_of(texts)
@@ -111,14 +119,15 @@ def export(sentences: DataFrame, sentiment: DataFrame, global_topics: DataFrame
         added = [c for c in global_topics.columns if c != "sent_id"]
         out = out.join(global_topics, "sent_id", "left")
         if local_topics is not None:
-            marks = local_topics.select(F.col("sent_id").alias("of_local")).distinct()
-            out = out.join(marks, out["sent_id"] == marks["of_local"], "left").withColumn("tema_selecionado", F.col("of_local").isNotNull()).drop("of_local")
+            out = out.join(local_topics.withColumn("of_local", F.lit(True)), "sent_id", "left").withColumn("tema_selecionado", F.col("of_local").isNotNull()).drop("of_local")
+            local_columns = [c for c in local_topics.columns if c != "sent_id"]
         else:
             out = out.withColumn("tema_selecionado", F.lit(False))
+            local_columns = []
         at = added.index("global_topic_id") + 1 if "global_topic_id" in added else 0
-        front = [c for c in out.columns if c not in added and c != "tema_selecionado"]
-        out = out.select(*front, *added[:at], "tema_selecionado", *added[at:])
-    if local_topics is not None:
+        front = [c for c in out.columns if c not in added and c not in local_columns and c != "tema_selecionado"]
+        out = out.select(*front, *added[:at], "tema_selecionado", *added[at:], *local_columns)
+    elif local_topics is not None:
         out = out.join(local_topics, "sent_id", "left")
     renamed = sentiment.select("sent_id", F.col("sentiment").alias("sentimento"), F.col("score").alias("confianca_sentimento"), "score_positiva", "score_neutra", "score_negativa")
     out = out.join(renamed, "sent_id", "left")

@@ -27,13 +27,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.preprocess(documents(spark, sf_dir), "doc_id", language=F.col("lang")).drop("message_raw").persist()
 
 
-def corpus_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_sentences(spark: SparkSession, sf_dir: str, contexts: bool = False) -> DataFrame:
     docs = corpus(spark, sf_dir).withColumn("product_category", F.col("source"))
-    return sentences.build_sentences(docs, check=False)
+    return sentences.build_sentences(docs, check=False, contexts=contexts)
 
 
-def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.usable(corpus_sentences(spark, sf_dir))
+def usable(spark: SparkSession, sf_dir: str, contexts: bool = False) -> DataFrame:
+    return sentences.usable(corpus_sentences(spark, sf_dir, contexts))
 
 
 def _byte(digest, at):
@@ -55,7 +55,7 @@ def weighed(rows: DataFrame) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str, chosen: tuple[int, ...] = (0, 2, 3), lexicon: dict | None = None, check: bool = False) -> DataFrame:
     """Evidence of the made-up topics, with cues from a lexicon that the test corpus does have."""
-    rows = weighed(usable(spark, sf_dir)).select("sent_id", "post_id", "sentence", "context", "product_category", "topic_id", "topic_weight", "local_topic_id", "local_topic_distribution")
+    rows = weighed(usable(spark, sf_dir, contexts=True)).select("sent_id", "post_id", "sentence", "context", "product_category", "topic_id", "topic_weight", "local_topic_id", "local_topic_distribution")
     rows = written(rows, "weighed")
     global_rows = rows.select("sent_id", "post_id", "sentence", "context", "product_category", "topic_id", "topic_weight")
     local_rows = rows.where(F.col("topic_id").isin(*chosen)).select(

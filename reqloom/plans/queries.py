@@ -174,7 +174,7 @@ def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.SENTENCES} SELECT sent_id, context FROM sent")
 def sentence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapt.corpus_sentences(spark, sf_dir).select("sent_id", "context")
+    return adapt.corpus_sentences(spark, sf_dir, contexts=True).select("sent_id", "context")
 
 
 @query(f"WITH {S.SENTENCES} SELECT source, count(*) AS n, count_if(n_words < 5) AS n_fragments, count_if(is_dup_exact) AS n_dups FROM sent GROUP BY source")
@@ -558,7 +558,7 @@ def score_cache_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM felt LEFT JOIN weighed USING (sent_id)"""
 )
 def final_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapt.corpus_sentences(spark, sf_dir).persist()
+    rows = adapt.corpus_sentences(spark, sf_dir).select("sent_id", "post_id", "sent_idx", "sentence", "n_words", "is_fragment", "is_dup_exact").persist()
     placed = adapt.weighed(sentences.usable(rows))
     local = placed.where("topic_id in (0, 2, 3)").select("sent_id", "local_topic_id")
     out = sentiment.export(rows, sentiment.classify(rows), placed.select("sent_id", F.col("topic_id").alias("global_topic_id")), local, check=False)

@@ -139,6 +139,24 @@ def test_sentences(spark):
         sentences.build_sentences(docs(spark, "a").drop("message"))
 
 
+def test_repeats_by_brute_force(spark):
+    """Flags, contexts and word counts of random documents; a document's id comes twice, another's text as well."""
+    from collections import Counter
+    from random import Random
+
+    draw = Random(5)
+    texts = [" ".join(f"{' '.join(draw.choices('abcd', k=draw.randint(1, 4)))}." for _ in range(draw.randint(0, 9))) for _ in range(40)] + [""]
+    rows = [(str(i if i != 7 else 3), t, "whisper") for i, t in enumerate(texts)] + [("copy", texts[9], "whisper")]
+    split = {(p, t): [s + "." for s in t[:-1].split(". ")] if t else [] for p, t, _ in rows}
+    times = Counter(s for p, t, _ in rows for s in split[p, t])
+    want = Counter((p, i, s, " ".join(all_[max(0, i - 1) : i + 2]), len(s.split()), times[s] > 1) for p, t, _ in rows for all_ in [split[p, t]] for i, s in enumerate(all_))
+    held = spark.createDataFrame(rows, "post_id string, message string, source string").repartition(5)
+    found = sentences.build_sentences(held, check=False)
+    assert Counter(tuple(r) for r in found.select("post_id", "sent_idx", "sentence", "context", "n_words", "is_dup_exact").collect()) == want
+    bare = sentences.build_sentences(held, check=False, contexts=False)
+    assert bare.columns == [c for c in found.columns if c != "context"] and bare.count() == sum(want.values())
+
+
 def test_captions(spark):
     captions = docs(spark, "first sentence second sentence", source="legenda")
     with pytest.raises(ContractError):

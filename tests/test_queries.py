@@ -39,6 +39,21 @@ def test_query_has_rows(spark, tables, name):
     assert registry.QUERIES[name](spark, tables).count() > 0
 
 
+@pytest.mark.parametrize("name", ["final_export"])
+def test_sentences_are_held_without_their_documents(spark, tables, name, monkeypatch):
+    """Neither memory nor scratch tables get a row a sentence with its whole document: that is its square."""
+    from reqloom import scratch
+
+    held = []
+    kind = type(spark.range(1))
+    persist, written_at = kind.persist, scratch.written_at
+    monkeypatch.setattr(kind, "persist", lambda df, *a: held.append(df.columns) or persist(df, *a))
+    monkeypatch.setattr(scratch, "written_at", lambda df, *a: held.append(df.columns) or written_at(df, *a))
+    registry.QUERIES[name](spark, tables)
+    assert held and not [c for c in held if "sent_idx" in c and {"message_raw", "message_punctuated"} & set(c)]
+    assert not [c for c in held if "sentence" in c and "context" in c]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
