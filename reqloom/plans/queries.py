@@ -274,9 +274,14 @@ def run_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- terms and topics -----------------------------------------------------------------------------
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sent_id, sentence) of usable sentences, held: whole rows would hold each sentence's whole document."""
+    return adapt.usable(spark, sf_dir).select("sent_id", "sentence").persist()
+
+
 @query(f"WITH {S.VOCABULARY} SELECT term, CAST(term_id AS INT) AS term_id, df, tf FROM vocab")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapt.usable(spark, sf_dir).persist()
+    rows = _texts(spark, sf_dir)
     return terms.vocabulary(terms.term_rows(rows), rows.count()).select("term", "term_id", "df", "tf")
 
 
@@ -286,22 +291,22 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT sent_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY sent_id)), 6) AS tfidf FROM r"""
 )
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapt.usable(spark, sf_dir).persist()
-    held, n = terms.term_rows(rows).persist(), rows.count()
+    rows = _texts(spark, sf_dir)
+    held, n = terms.term_rows(rows), rows.count()
     return terms.tfidf(held, terms.vocabulary(held, n), n).select("sent_id", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
 @query(f"WITH {S.TERMS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM tf GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.5 * (SELECT count(*) FROM usable)")
 def bow_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapt.usable(spark, sf_dir).persist()
-    return terms.dictionary(terms.term_rows(rows), rows.count())
+    rows = _texts(spark, sf_dir)
+    return terms.dictionary(terms.term_rows(rows), rows.count(), keep=None)
 
 
 @query(f"WITH {S.TERMS}, d AS (SELECT term FROM tf GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.5 * (SELECT count(*) FROM usable)) SELECT sent_id, term, tf AS n FROM tf JOIN d USING (term)")
 def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapt.usable(spark, sf_dir).persist()
+    rows = _texts(spark, sf_dir)
     held = terms.term_rows(rows)
-    return terms.bags(held, terms.dictionary(held, rows.count()))
+    return terms.bags(held, terms.dictionary(held, rows.count(), keep=None), bounded=False)
 
 
 TOPIC_WORDS = {0: ["the", "and", "that"], 1: ["was", "with", "the"], 2: ["for", "this", "which"], -1: ["an", "of"], 3: ["is"]}
@@ -379,7 +384,7 @@ def random_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(topic_id AS INT) AS topic_id, n_sentences, n_videos, round(100.0 * n_sentences / (SELECT count(*) FROM weighed), 1) AS pct_frases FROM t"""
 )
 def topic_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.sizes(written(adapt.weighed(adapt.usable(spark, sf_dir)), "weighed"))
+    return topics.sizes(adapt.weighed(adapt.usable(spark, sf_dir)).select("topic_id", "post_id").persist())
 
 
 @query(
@@ -406,7 +411,7 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def global_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned, _, _ = topics.global_topics(adapt.usable(spark, sf_dir).persist())
+    assigned, _, _ = topics.global_topics(_texts(spark, sf_dir))
     return assigned.select("sent_id", "topic_id", "topic_weight", "weights")
 
 

@@ -39,7 +39,7 @@ def test_query_has_rows(spark, tables, name):
     assert registry.QUERIES[name](spark, tables).count() > 0
 
 
-@pytest.mark.parametrize("name", ["final_export"])
+@pytest.mark.parametrize("name", ["final_export", "bags", "bow_dictionary", "global_nmf", "tfidf", "topic_sizes", "vocabulary"])
 def test_sentences_are_held_without_their_documents(spark, tables, name, monkeypatch):
     """Neither memory nor scratch tables get a row a sentence with its whole document: that is its square."""
     from reqloom import scratch
