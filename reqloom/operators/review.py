@@ -44,7 +44,12 @@ def load_evidence(global_rows: DataFrame, local_rows: DataFrame, global_terms: D
     names = local_terms.select(F.col("global_topic_id").alias("g"), F.col("topic_id").alias("l"), F.col("top_terms").alias("local_top_terms"))
     local = local.join(names, (local["global_topic_id"] == names["g"]) & (local["local_topic_id"] == names["l"]), "left").drop("g", "l")
     shared = ("post_id", "sentence", "context", "product_category")
-    right = selected.select("sent_id", *(F.col(c).alias(f"{c}_global") for c in shared), F.col("topic_id").alias("topic_global"), F.col("topic_weight").alias("weight_global"), "global_top_terms")
+    # texts are compared by digests, so that the join moves none of the right side's, and the left's only if they are asked for
+    digest = lambda c: F.unhex(F.md5(F.col(c).cast("string")))
+    if check:
+        local = local.withColumns({f"{c}_local": digest(c) for c in shared})
+        selected = selected.withColumns({f"{c}_global": digest(c) for c in shared})
+    right = selected.select("sent_id", *(f"{c}_global" for c in shared if check), F.col("topic_id").alias("topic_global"), F.col("topic_weight").alias("weight_global"), "global_top_terms")
     joined = local.join(right, "sent_id")
     if check:
         require_unique(global_rows, ["sent_id"], "global topics")
@@ -58,7 +63,7 @@ def load_evidence(global_rows: DataFrame, local_rows: DataFrame, global_terms: D
             "local distribution as its topic says": F.col("sound"),
             "same topic": F.col("global_topic_id") == F.col("topic_global"),
             "same weight": N.close_to(F.col("global_topic_weight"), F.col("weight_global")),
-            **{f"same {c}": F.col(c).eqNullSafe(F.col(f"{c}_global")) for c in shared},
+            **{f"same {c}": F.col(f"{c}_local").eqNullSafe(F.col(f"{c}_global")) for c in shared},
         }
         require(joined, rules, "evidence")
     kept = [c for c in local_rows.columns]

@@ -451,7 +451,7 @@ def lexicon_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.EVIDENCE} SELECT sent_id, CAST(global_topic_id AS INT) AS global_topic_id, CAST(local_topic_id AS INT) AS local_topic_id, round(local_topic_weight, 6) AS local_topic_weight, CASE WHEN local_topic_id >= 0 THEN 'local ' || global_topic_id || ' ' || local_topic_id END AS local_top_terms, 'global ' || global_topic_id AS global_top_terms, round(topic_score, 6) AS topic_score FROM evidence")
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapt.evidence(spark, sf_dir, check=True)
+    rows = adapt.evidence(spark, sf_dir, check=True, contexts=True)
     return rows.select("sent_id", "global_topic_id", "local_topic_id", F.round("local_topic_weight", 6).alias("local_topic_weight"), "local_top_terms", "global_top_terms", F.round("topic_score", 6).alias("topic_score"))
 
 
@@ -460,15 +460,16 @@ def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.rankings(written(adapt.evidence(spark, sf_dir), "evidence"), check=False)
 
 
-def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = written(adapt.evidence(spark, sf_dir), "evidence")
-    blind, origin = review.blind_sample(rows, written(review.rankings(rows, check=False), "rankings"), check=False)
+def _sample(spark: SparkSession, sf_dir: str, contexts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(blind, origin); contexts are in the blind sample only, and null unless asked for. Rankings are stored as they are sorted."""
+    rows = written(adapt.evidence(spark, sf_dir, contexts=contexts), "evidence")
+    blind, origin = review.blind_sample(rows, review.rankings(rows, check=False), check=False)
     return blind, written(origin, "origin")
 
 
 @query(f"WITH {S.SAMPLED} SELECT CAST(review_id AS INT) AS review_id, sentence, context, product_category, CAST(NULL AS VARCHAR) AS requirement_candidate, CAST(NULL AS VARCHAR) AS aspect_ref, CAST(NULL AS VARCHAR) AS review_notes FROM origin")
 def blind_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark, sf_dir)[0]
+    return _sample(spark, sf_dir, contexts=True)[0]
 
 
 @query(f"WITH {S.SAMPLED} SELECT CAST(review_id AS INT) AS review_id, sent_id, selection_source, CAST(rank_aleatoria AS INT) AS rank_aleatoria, CAST(rank_lexical AS INT) AS rank_lexical, CAST(rank_topico AS INT) AS rank_topico, CAST(rank_topico_lexical AS INT) AS rank_topico_lexical FROM origin")
@@ -538,8 +539,9 @@ def topic_sentiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {S.EVIDENCE}, {S.sentiment('evidence')}, {_SHARES.format(keys='lex_hit', rows='felt')}""")
 def evidence_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence with its sentences' sentiment, by cue."""
-    scored = sentiment.classify(adapt.corpus_sentences(spark, sf_dir)).select("sent_id", "sentiment", "score")
-    return sentiment.summarise(adapt.evidence(spark, sf_dir).join(scored, "sent_id", "left"), "lex_hit")
+    rows = adapt.corpus_sentences(spark, sf_dir)
+    scored = sentiment.classify(rows).select("sent_id", "sentiment", "score")
+    return sentiment.summarise(adapt.evidence(spark, sf_dir, of=rows).join(scored, "sent_id", "left"), "lex_hit")
 
 
 @query(f"WITH {S.WEIGHED} SELECT sent_id, CAST(topic_id AS INT) AS topic_id, CASE topic_id WHEN 0 THEN 'the, and, that' WHEN 1 THEN 'was, with, the' WHEN 2 THEN 'for, this, which' WHEN 3 THEN 'is' END AS top_terms FROM weighed")

@@ -259,6 +259,22 @@ def test_load_evidence(spark):
         review.load_evidence(global_rows, local("[1, 0]", 0), terms_of, local_terms, [1, 2])
 
 
+def test_evidence_moves_no_texts_to_compare_them(spark):
+    """Sentences and contexts are compared by digests: the join's right side has none of them."""
+    from reqloom.plans import adapt
+
+    rows = spark.createDataFrame([(f"s{i}", "p", f"a {i}", f"a {i} b", "c", False, False, 9) for i in range(40)], "sent_id string, post_id string, sentence string, context string, product_category string, is_fragment boolean, is_dup_exact boolean, n_words int")
+    found = adapt.evidence(spark, "", check=True, of=rows)
+    joined = found.select("sent_id", "topic_score")._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 0 and "sentence#" not in joined.split("Join Inner")[-1].split("Relation")[0]
+    plain = sentiment.classify(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan_of(plain) and "Aggregate" not in plan_of(plain)
+
+
+def plan_of(text):
+    return text.split("LogicalRDD")[0]
+
+
 def test_sentiment(spark, tmp_path):
     calls = []
 
