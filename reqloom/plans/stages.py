@@ -18,9 +18,10 @@ def run_global_topics(
     spark: SparkSession, corpus: DataFrame, folder: str | Path, ks: Sequence[int] = (20,), seed: int = 42, text: str = "sentence", min_df: int = 20, max_df: float = 0.5, max_features: int = 12_000, rounds: int = 300,
 ) -> list[Run]:
     """A run for each k over the usable sentences of ``corpus``; the term matrix is made once."""
-    rows = require_unique(sentences.usable(corpus), ["sent_id"], "sentences").persist()
+    needed = dict.fromkeys(("sent_id", "post_id", "sentence", "context", "product_category", text))  # not each sentence's whole document
+    rows = require_unique(sentences.usable(corpus).select(*needed), ["sent_id"], "sentences").persist()
     n = rows.count()
-    held = terms.term_rows(rows, text=text).persist()
+    held = terms.term_rows(rows, text=text)
     vocab = terms.vocabulary(held, n, min_df, max_df, max_features).persist()
     listed = [r["term"] for r in vocab.orderBy("term_id").collect()]  # at most max_features
     matrix = nmf.as_rows(terms.tfidf(held, vocab, n), "sent_id").persist()
