@@ -186,6 +186,13 @@ def test_terms(spark):
     assert scores.groupBy("sent_id").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("s")).where("abs(s - 1) > 1e-9").count() == 0
 
 
+def test_a_dictionary_may_have_all_terms(spark):
+    held = spark.createDataFrame([(f"s{i}", f"t{j}", 1) for i in range(2) for j in range(4)], "sent_id string, term string, tf long")
+    assert terms.dictionary(held, 4, 1, 1.0, keep=3).count() == 3
+    whole = terms.dictionary(held, 4, 1, 1.0, keep=None)
+    assert whole.count() == 4 and terms.bags(held, whole, bounded=False).count() == 8
+
+
 def test_diversity(spark):
     frame = lambda d: spark.createDataFrame(list(d.items()), "topic_id int, words array<string>")
     value = lambda d, k: topics.diversity(frame(d), k).first()[0]
